@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["timestamps"]
+_MODULES = ["timestamps", "skew", "orphans"]
 
 
 def collect() -> tuple[dict, dict]:
