@@ -4,7 +4,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in ["orders_queries"]:
+for _m in ["orders_queries", "text_queries"]:
     _mod = import_module(f"tributary.llm.{_m}")
     QUERIES |= _mod.QUERIES
     ORACLE |= _mod.ORACLE
