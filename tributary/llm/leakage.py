@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.offsets import nfkc
+
 #: Least number of consecutive words of an item that count as a passage.
 WORDS = 12
 #: Items of one automaton; more items are searched for in several passes over the texts.
@@ -30,25 +32,8 @@ def words(text: str) -> list[str]:
 
 
 def normal_with_offsets(text: str) -> tuple[str, list[int]]:
-    """The normal form and, for each of its characters, the index in ``text`` of the character it comes from.
-
-    The text is normalised in clusters, a starter with what may combine with it; where that differs from the whole text's normal form (a composition over a
-    cluster's border), the characters of the longest agreeing ends keep their places and those between point to the start of the difference.
-    """
-    out, at, k = [], [], 0
-    while k < len(text):
-        j = k + 1
-        while j < len(text) and (unicodedata.combining(text[j]) or "ᅠ" <= text[j] <= "ᇿ"):
-            j += 1
-        n = unicodedata.normalize("NFKC", text[k:j])
-        out.append(n)
-        at += [min(k + i, j - 1) if len(n) == j - k else k for i in range(len(n))]
-        k = j
-    mine, whole = "".join(out), unicodedata.normalize("NFKC", text)
-    if mine != whole:
-        a = next((i for i, (x, y) in enumerate(zip(mine, whole)) if x != y), min(len(mine), len(whole)))
-        b = next((i for i, (x, y) in enumerate(zip(reversed(mine[a:]), reversed(whole[a:]))) if x != y), min(len(mine), len(whole)) - a)
-        at = at[:a] + [at[min(a, len(at) - 1)]] * (len(whole) - a - b) + at[len(at) - b :]
+    """The normal form and, for each of its characters, the index in ``text`` of the character it comes from."""
+    whole, at = nfkc(text)
     low = [at[i] for i, c in enumerate(whole) for _ in c.lower()]
     lower = whole.lower()
     kept = [i for i, c in enumerate(lower) if unicodedata.category(c) != "Cf"]

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, leakage
+from tributary.llm import bpe, leakage, pii
 from tributary.queries.tables import table
 
 #: Folder of the public vocabularies.
@@ -23,5 +23,13 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id", spans=True)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_values(table(spark, d, "documents"), "doc_id").select("doc_id", "pii_kind", "found_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"), "doc_id")
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_redacted": p10_redacted}
 ORACLE: dict = {}
