@@ -1 +1 @@
-"""plans"""
+"""Text passes over free SQL before Spark plans it."""
