@@ -76,7 +76,7 @@ def _cell(v, kind: T.DataType):
 
 
 def duckdb_tables(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """Tables of a DuckDB file, or of a DuckLake catalog when ``attach`` names one; each is exported as Parquet to the shared folder and read from there."""
+    """Tables of a DuckDB file, or of a DuckLake catalog when ``attach`` names one; each is handed over in batches as Parquet in the shared folder and read from there."""
     import duckdb
 
     con = duckdb.connect() if config.get("attach") else duckdb.connect(config["path"], read_only=True)
@@ -92,16 +92,14 @@ def duckdb_tables(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
             wanted = {n: f'SELECT * FROM "{s}"."{n}"' for s, n in con.execute("SELECT table_schema, table_name FROM information_schema.tables WHERE table_schema NOT IN ('information_schema', 'pg_catalog') ORDER BY 1, 2").fetchall()}
         out = {}
         for n, q in wanted.items():
-            path = new_path(spark, n)
-            if path.startswith("file://"):
-                os.makedirs(path[7:])
-                con.execute(f"COPY ({q}) TO '{path[7:]}/part-0.parquet' (FORMAT parquet)")
-                out[n] = spark.read.parquet(path)
-            else:
-                r = con.execute(q).fetch_record_batch(BATCH)
-                for b in r:
-                    spark.createDataFrame(pa.Table.from_batches([b])).write.mode("append").parquet(path)
-                out[n] = spark.read.parquet(path)
+            path, cur = new_path(spark, n), con.execute(q)
+            reader = cur.fetch_record_batch(BATCH) if hasattr(cur, "fetch_record_batch") else cur.to_arrow_reader(BATCH)
+            schema = spark.createDataFrame(reader.schema.empty_table()).schema
+            wrote = False
+            for b in reader:
+                spark.createDataFrame(pa.Table.from_batches([b])).write.mode("append").parquet(path)
+                wrote = True
+            out[n] = spark.read.schema(schema).parquet(path) if wrote else spark.createDataFrame([], schema)
         return out
     finally:
         con.close()
