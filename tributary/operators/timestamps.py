@@ -362,7 +362,7 @@ def _up(key, t: pa.Table, leaf: bool) -> pa.Table:
     t = t.sort_by("row_id" if leaf else "b")
     x = _levels(_leaves(t) if leaf else _runs(t))[-1]
     k = x.m.shape[1]
-    return pa.table({"src": [key[0].as_py()], "feed": [key[1].as_py()], "b": pa.array([key[2].as_py()], pa.int64()), "w": pa.array([k], pa.int32()),
+    return pa.table({"src": pa.array([key[0].as_py()], pa.string()), "feed": pa.array([key[1].as_py()], pa.string()), "b": pa.array([key[2].as_py()], pa.int64()), "w": pa.array([k], pa.int32()),
                      "et": pa.array([x.et[0].tolist()], pa.list_(pa.int64())), "ef": pa.array([x.ef[0].tolist()], pa.list_(pa.int32())),
                      "xt": pa.array([x.xt[0].tolist()], pa.list_(pa.int64())), "xf": pa.array([x.xf[0].tolist()], pa.list_(pa.int32())),
                      "m": pa.array([x.m[0].ravel().tolist()], pa.list_(pa.float32()))})
