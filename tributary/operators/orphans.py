@@ -15,12 +15,17 @@ HOT_SHARE, SALTS = 0.01, 32
 def deleted_spans(history: DataFrame) -> DataFrame:
     """(key, since, until) in which a record was deleted, of ``history`` (key, at, version, gone).
 
-    The last row up to a moment, by at, then version, says whether the record is gone. until is null for a span that still lasts. Rows without a moment say nothing.
+    The last row up to a moment, by at, then version, says whether the record is gone. until is null for a span that still lasts. Rows without a moment say
+    nothing. The row behind each one is looked for within its day first, then among the first rows of the key's later days: a key with very many rows is
+    spread over tasks by day, and the window over its days is bounded by the calendar.
     """
-    rows = history.filter(F.col("key").isNotNull() & F.col("at").isNotNull())
-    until = F.lead("at").over(Window.partitionBy("key").orderBy("at", F.col("version").asc_nulls_first()))
-    ends = rows.withColumn("until", until)
-    return ends.filter(F.col("gone") & (F.col("until").isNull() | (F.col("until") > F.col("at")))).select("key", F.col("at").alias("since"), "until")
+    rows = history.filter(F.col("key").isNotNull() & F.col("at").isNotNull()).withColumn("day", F.to_date("at"))
+    within = F.lead("at").over(Window.partitionBy("key", "day").orderBy("at", F.col("version").asc_nulls_first()))
+    gone = rows.withColumn("next", within).filter("gone")
+    days = rows.groupBy("key", "day").agg(F.min("at").alias("head"))
+    days = days.withColumn("after", F.lead("head").over(Window.partitionBy("key").orderBy("day"))).select("key", "day", "after")
+    ends = gone.join(days, ["key", "day"], "left").withColumn("until", F.coalesce("next", "after"))
+    return ends.filter(F.col("until").isNull() | (F.col("until") > F.col("at"))).select("key", F.col("at").alias("since"), "until")
 
 
 def orphans(child: DataFrame, parents: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
