@@ -47,8 +47,8 @@ def test_orphans_against_brute_force(spark):
             upto = sorted((h for h in own if h[1] is not None and h[1] <= t), key=lambda h: (h[1], h[2]))
             if upto and upto[-1][3]:
                 kinds[rid] = "deleted"
-    h = spark.createDataFrame(history, "key bigint, at timestamp_ntz, version bigint, gone boolean")
-    c = spark.createDataFrame(child, "src string, row_id bigint, ref bigint, at timestamp_ntz")
+    h = spark.createDataFrame(history, "key bigint, at timestamp_ntz, version bigint, gone boolean").selectExpr("*", "version AS day", "version AS until")
+    c = spark.createDataFrame(child, "src string, row_id bigint, ref bigint, at timestamp_ntz").selectExpr("*", "src AS __salt", "src AS orphan_kind")
     found = orphans.orphans(c, h.select("key", "at"), orphans.deleted_spans(h))
     assert {r.row_id: r.orphan_kind for r in found.collect()} == kinds
     assert sum(r.n_rows for r in orphans.report(found).collect()) == len(kinds)

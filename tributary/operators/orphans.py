@@ -19,7 +19,7 @@ def deleted_spans(history: DataFrame) -> DataFrame:
     nothing. The row behind each one is looked for within its day first, then among the first rows of the key's later days: a key with very many rows is
     spread over tasks by day, and the window over its days is bounded by the calendar.
     """
-    rows = history.filter(F.col("key").isNotNull() & F.col("at").isNotNull()).withColumn("day", F.to_date("at"))
+    rows = history.select("key", "at", "version", "gone").filter(F.col("key").isNotNull() & F.col("at").isNotNull()).withColumn("day", F.to_date("at"))
     within = F.lead("at").over(Window.partitionBy("key", "day").orderBy("at", F.col("version").asc_nulls_first()))
     gone = rows.withColumn("next", within).filter("gone")
     days = rows.groupBy("key", "day").agg(F.min("at").alias("head"))
@@ -37,6 +37,7 @@ def orphans(child: DataFrame, parents: DataFrame, deleted: DataFrame | None = No
     are salted for that. Null references are no orphans; a row without a moment can only be missing; a parent row without a moment counts as loaded before
     all else. Rows that are repeated come out repeated. Empty tables: without parents every reference is missing, without children there is no result.
     """
+    child = child.select("src", "row_id", "ref", "at")
     refs = written(
         child.filter(F.col("ref").isNotNull()).groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high")), "refs"
     )

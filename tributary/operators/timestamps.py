@@ -255,8 +255,9 @@ def candidates(df: DataFrame, value: str | Column, feed_zone: str | Column, orde
 
 
 def with_feeds(df: DataFrame, feeds: DataFrame) -> DataFrame:
-    """``df`` with the zone and date order of each row's feed as feed_zone and feed_order; a feed that isn't listed leaves both null."""
+    """``df`` with the zone and date order of each row's feed as feed_zone and feed_order, in place of columns so called; a feed that isn't listed leaves both null."""
     f = feeds.groupBy(F.col("feed").alias("__feed")).agg(F.first("time_zone").alias("feed_zone"), F.first("date_order").alias("feed_order"))
+    df = df.drop("feed_zone", "feed_order")
     return df.join(f, df["feed"] == f["__feed"], "left").drop("__feed")
 
 
