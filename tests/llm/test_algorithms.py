@@ -9,7 +9,7 @@ def test_top_n_against_brute_force(spark):
     rnd = random.Random(1)
     score = lambda: rnd.choice([None, math.nan, -5.0, 0.0, -0.0, 1.0, 2.0, rnd.random() * 9])
     rows = [(rnd.choice(["hot", "hot", "hot", "a", "b", f"g{rnd.randint(0, 40)}", None]), score(), k, k % 3) for k in range(1500)]
-    df = spark.createDataFrame(rows, "grp string, score double, tie bigint, rank_x int")
+    df = spark.createDataFrame(rows, "grp string, score double, tie bigint, __band int").selectExpr("*", "__band AS rank_no", "__band AS __have")
     want = set()
     for g in {r[0] for r in rows} - {None}:
         own = sorted((r for r in rows if r[0] == g and r[1] is not None and not math.isnan(r[1])), key=lambda r: (-r[1], r[2]))[:5]

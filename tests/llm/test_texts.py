@@ -41,6 +41,7 @@ def test_leaks_frame(spark, monkeypatch):
     items = spark.createDataFrame([(5, ITEM), (6, ITEM + " again"), (7, None), (None, ITEM)], "item_id int, text string")
     assert sorted(map(tuple, leakage.leaks(docs, items, "doc_id", "item_id").collect()), key=str) == [(1, 5), (1, 5), (1, 6), (1, 6), (None, 5), (None, 6)]
     assert leakage.leaks(docs, items.limit(0), "doc_id", "item_id").collect() == []
+    assert leakage.leaks(docs.limit(1), items.withColumnRenamed("item_id", "doc_id"), "doc_id", "doc_id").columns == ["doc_id", "item_doc_id"]
     s = leakage.leaks(docs.limit(1), items.limit(1), "doc_id", "item_id", spans=True).collect()
     assert [(r.start_char, r.end_char) for r in s] == [(0, len(ITEM) - 1)]
 

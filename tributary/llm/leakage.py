@@ -101,11 +101,12 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text:
     start_char and end_char (end excluded) of each longest passage in the document as it is.
 
     Null and empty texts have no words. The items, a test set of fixed size, are collected and searched for in blocks of ITEMS, each by one automaton that
-    every worker builds once; documents are read whole, in one narrow stage without a shuffle. Equal item texts all come out. Repeated documents each count.
+    every worker builds once; documents are read whole, in one narrow stage without a shuffle. Equal item texts all come out. Where both keys have one name, the item's is put out as item_<name>. Repeated documents each count.
     """
+    item_name = item_key if item_key != doc_key else f"item_{item_key}"
     tests = [(r[0], r[1]) for r in items.filter(F.col(item_key).isNotNull()).select(item_key, text).distinct().orderBy(item_key, text).toLocalIterator()]
     kd, ki = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"`{doc_key}` {kd}, `{item_key}` {ki}" + (", start_char int, end_char int" if spans else "")
+    schema = f"`{doc_key}` {kd}, `{item_name}` {ki}" + (", start_char int, end_char int" if spans else "")
     sc = docs.sparkSession.sparkContext
 
     def runner(shared, tag):
@@ -117,7 +118,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text:
                     rows += [(d, *x) for x in passages_in(a, t)] if spans else [(d, i) for i in sorted(found_in(a, t))]
                 cols = list(zip(*rows)) or [[]] * (4 if spans else 2)
                 kinds = [b.schema.field(0).type, item_type, pa.int32(), pa.int32()]
-                names = [doc_key, item_key, "start_char", "end_char"]
+                names = [doc_key, item_name, "start_char", "end_char"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names[: len(cols)])
 
         return run

@@ -25,30 +25,31 @@ def top_n(rows: DataFrame, n: int, keep: list[str], edges: list[float]) -> DataF
     """Rows of ``rows`` (grp, score, tie and ``keep``) among the first ``n`` of their group, with rank_no from 1 by score descending, then tie ascending.
 
     Rows with a null group, or a null or NaN score, take no part; a null tie comes last. Rows that tie in both score and tie are ranked in an order that
-    isn't defined; callers who need one make tie unique. The rows are written once, in bands of descending score with the lower ``edges``. Each band is
+    isn't defined; callers who need one make tie unique. Other columns of ``rows`` are left out. The rows are written once, in bands of descending score with the lower ``edges``. Each band is
     read from the top without the groups that the bands above have filled, and its first rows per group are ranked exactly, behind the rows that the group has
     from above. The ranking window cuts every task's rows to n per group before the shuffle, so a group of any size sends no more than n rows a task. The
     filled groups are broadcast only up to BROADCAST_GROUPS; beyond that the anti-join follows the cut, where no group is large. Empty tables give no rows.
     """
-    valid = rows.filter(F.col("grp").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score")).withColumn("score", F.col("score") + F.lit(0.0))
+    cols = list(dict.fromkeys(["grp", "score", "tie", *keep]))
+    valid = rows.select(*cols).filter(F.col("grp").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score")).withColumn("score", F.col("score") + F.lit(0.0))
     band = F.lit(len(edges))
     for k in reversed(range(len(edges))):
         band = F.when(F.col("score") >= F.lit(edges[k]), F.lit(k)).otherwise(band)
-    banded = written(valid.withColumn("band", band), "bands", "band")
+    banded = written(valid.withColumn("__band", band), "bands", "__band")
     w = Window.partitionBy("grp").orderBy(F.col("score").desc(), F.col("tie").asc_nulls_last())
     done: list[DataFrame] = []
     for k in range(len(edges) + 1):
-        part = banded.filter(F.col("band") == k).drop("band")
+        part = banded.filter(F.col("__band") == k).drop("__band")
         if done:
-            have = reduce(DataFrame.unionAll, [x.select("grp") for x in done]).groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("have"))
-            filled = have.filter(F.col("have") >= n).select("grp")
+            have = reduce(DataFrame.unionAll, [x.select("grp") for x in done]).groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("__have"))
+            filled = have.filter(F.col("__have") >= n).select("grp")
             small = filled.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
             if small:
                 part = part.join(F.broadcast(filled), "grp", "left_anti")
-        first = part.withColumn("rank_no", F.row_number().over(w)).filter(F.col("rank_no") <= n)
+        first = part.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n)
         if done:
             if not small:
                 first = first.join(filled, "grp", "left_anti")
-            first = first.join(have, "grp", "left").withColumn("rank_no", F.col("rank_no") + F.coalesce("have", F.lit(0))).filter(F.col("rank_no") <= n).drop("have")
+            first = first.join(have, "grp", "left").withColumn("__rank", F.col("__rank") + F.coalesce("__have", F.lit(0))).filter(F.col("__rank") <= n).drop("__have")
         done.append(written(first, "top") if k < len(edges) else first)
-    return reduce(DataFrame.unionByName, done).select(*keep, "rank_no")
+    return reduce(DataFrame.unionByName, done).select(*keep, F.col("__rank").alias("rank_no"))
