@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.operators.spread import spread
 from tributary.storage import written
 
 #: Record ids per block and per step of the hierarchy, as a power of two.
@@ -251,7 +252,7 @@ def candidates(df: DataFrame, value: str | Column, feed_zone: str | Column, orde
     kept = df.select(*keep)
     src = df.select(*keep, as_col(value).cast("string").alias("__v"), as_col(feed_zone).alias("__z"), F.lower(as_col(order)).alias("__o"))
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields)
-    return src.mapInArrow(_batches, f"{fields}, t array<bigint>, f array<int>, c array<float>")
+    return spread(src).mapInArrow(_batches, f"{fields}, t array<bigint>, f array<int>, c array<float>")
 
 
 def with_feeds(df: DataFrame, feeds: DataFrame) -> DataFrame:
