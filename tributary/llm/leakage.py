@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.offsets import nfkc
+from tributary.operators.spread import spread
 
 #: Least number of consecutive words of an item that count as a passage.
 WORDS = 12
@@ -129,6 +130,6 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text:
     out = None
     for k in range(0, max(1, len(tests)), ITEMS):
         shared = sc.broadcast(tests[k : k + ITEMS])
-        part = docs.select(doc_key, text).mapInArrow(runner(shared, f"{sc.applicationId}-{shared._jbroadcast.id()}"), schema)
+        part = spread(docs.select(doc_key, text)).mapInArrow(runner(shared, f"{sc.applicationId}-{shared._jbroadcast.id()}"), schema)
         out = part if out is None else out.unionByName(part)
     return out

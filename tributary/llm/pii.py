@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tributary.llm.offsets import Mapped, nfkc, replace, source_span
+from tributary.operators.spread import spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -258,7 +259,7 @@ def found_values(docs: DataFrame, key: str, text: str = "text", names: Names | N
             types = [b.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names=[key, "pii_kind", "found_text", "start_char", "end_char"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, pii_kind string, found_text string, start_char int, end_char int")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, pii_kind string, found_text string, start_char int, end_char int")
 
 
 def redacted(docs: DataFrame, key: str, text: str = "text", names: Names | None = None) -> DataFrame:
@@ -270,4 +271,4 @@ def redacted(docs: DataFrame, key: str, text: str = "text", names: Names | None
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t, find(t, names)) for t in b.column(1).to_pylist()], pa.string())], names=[key, "text"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, text string")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, text string")
