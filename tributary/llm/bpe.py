@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Words whose ids a worker remembers, words and bytes of one recursive query, documents of one step.
 REMEMBER, WORDS, BYTES, DOCS = 300_000, 50_000, 1_000_000, 2_000
+#: Words of more bytes are merged with a heap instead: the recursion's steps grow with a word's distinct merges, and each step writes the whole word again.
+LONG = 1_000
 
 
 def byte_letters() -> list[str]:
@@ -68,11 +71,37 @@ def _connection(v: Vocabulary) -> duckdb.DuckDBPyConnection:
     return _here["c"]
 
 
+def encode_long(v: Vocabulary, word: bytes) -> tuple[int, ...]:
+    """Ids of one word of any length: pairs are taken from a heap by rank, then place, so the leftmost of least rank always comes first."""
+    if _here.get("pairs_of") is not v:
+        _here.update(pairs_of=v, pairs={(int(a), int(b)): (int(k), int(m)) for a, b, k, m in v.merges})
+    pairs = _here["pairs"]
+    t: list[int | None] = [int(x) for x in v.bytes_[np.frombuffer(word, np.uint8)]]
+    n = len(t)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(*pairs[t[i], t[i + 1]], i, t[i], t[i + 1]) for i in range(n - 1) if (t[i], t[i + 1]) in pairs]
+    heap = [(k, i, m, a, b) for k, m, i, a, b in heap]
+    heapq.heapify(heap)
+    while heap:
+        _, i, merged, a, b = heapq.heappop(heap)
+        j = after[i]
+        if t[i] != a or j >= n or t[j] != b:
+            continue
+        t[i], t[j], after[i] = merged, None, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y < n and (t[x], t[y]) in pairs:
+                rank, m = pairs[t[x], t[y]]
+                heapq.heappush(heap, (rank, x, m, t[x], t[y]))
+    return tuple(x for x in t if x is not None)
+
+
 def encode_words(v: Vocabulary, words: list[str]) -> dict[str, tuple[int, ...]]:
     """Ids of each word. The rows (word, position, token) join the merge table with their right neighbour; a word's pairs of least rank are contracted from the
-    left, all that don't overlap in one step, which is what contracting the leftmost again and again comes to; a word without a pair that merges is done."""
-    c, out = _connection(v), {}
-    k = 0
+    left, all that don't overlap in one step, which is what contracting the leftmost again and again comes to; a word without a pair that merges is done. Words of more than LONG bytes go to encode_long."""
+    c, out = _connection(v), {w: encode_long(v, w.encode("utf-8", "surrogatepass")) for w in words if len(w) * 4 > LONG and len(w.encode("utf-8", "surrogatepass")) > LONG}
+    words, k = [w for w in words if w not in out], 0
     while k < len(words):
         part, size = [], 0
         while k < len(words) and len(part) < WORDS and (not part or size < BYTES):
