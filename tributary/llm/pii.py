@@ -184,10 +184,6 @@ def _windows(hits: list[tuple[int, int]], around: int, length: int) -> Iterator[
         yield low, min(high, length)
 
 
-def _clear(spans: list[tuple[int, int, str]], a: int, b: int) -> bool:
-    return all(b <= s or e <= a for s, e, _ in spans)
-
-
 def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each personal value of ``text`` in order, without overlaps; of overlapping ones emails go before addresses, labelled numbers,
     phones, unlabelled numbers and names."""
@@ -196,9 +192,11 @@ def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     mapped = deobfuscate(text)
     t = mapped[0]
     got: list[tuple[int, int, str]] = []
+    taken = bytearray(len(t))
 
     def add(a: int, b: int, kind: str) -> None:
-        if _clear(got, a, b):
+        if not any(taken[a:b]):
+            taken[a:b] = b"\1" * (b - a)
             got.append((a, b, kind))
 
     n, families, streets = len(t), [], []
