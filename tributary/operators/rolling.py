@@ -36,16 +36,12 @@ def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(a)), n), a.flatten().to_numpy(zero_copy_only=False)
 
 
-def _raise(leaves: np.ndarray) -> np.ndarray:
-    """Trees, one a row, over leaves: every inner node is the sum of its two children."""
-    t = np.zeros((len(leaves), 2 * SHARD), leaves.dtype)
-    t[:, SHARD:] = leaves
-    size = SHARD
-    while size > 1:
-        half = size // 2
-        t[:, half:size] = t[:, size : 2 * size : 2] + t[:, size + 1 : 2 * size : 2]
-        size = half
-    return t
+def _raise(trees: np.ndarray, row: np.ndarray, day: np.ndarray) -> None:
+    """Recompute the ancestors of the leaves (row, day), level by level, each as the sum of its two children; no other node is touched."""
+    node = day + SHARD
+    while len(node) and node[0] > 1:
+        row, node = np.unique(np.stack([row, node >> 1]), axis=1)
+        trees[row, node] = trees[row, 2 * node] + trees[row, 2 * node + 1]
 
 
 def _sparse(entity: pa.Array, shard: pa.Array, totals: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -60,14 +56,15 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for k in range(0, whole.num_rows, 4096):
             b = whole.slice(k, 4096)
-            totals, counts = np.zeros((b.num_rows, SHARD)), np.zeros((b.num_rows, SHARD), np.int64)
-            for day, total, n, shift in (("node", "was_total", "was_n", SHARD), ("day", "total", "n", 0)):
-                row, d = _lists(b.column(day))
-                d = d.astype(int) - shift
-                keep = d >= 0
-                totals[row[keep], d[keep]] = _lists(b.column(total))[1][keep]
-                counts[row[keep], d[keep]] = _lists(b.column(n))[1][keep]
-            yield _sparse(b.column("entity"), b.column("shard"), _raise(totals), _raise(counts))
+            totals, counts = np.zeros((b.num_rows, 2 * SHARD)), np.zeros((b.num_rows, 2 * SHARD), np.int64)
+            row, node = _lists(b.column("node"))
+            totals[row, node], counts[row, node] = _lists(b.column("was_total"))[1], _lists(b.column("was_n"))[1]
+            row, day = _lists(b.column("day"))
+            day = day.astype(int)
+            totals[row, day + SHARD], counts[row, day + SHARD] = _lists(b.column("total"))[1], _lists(b.column("n"))[1]
+            for t in (totals, counts):
+                _raise(t, row, day)
+            yield _sparse(b.column("entity"), b.column("shard"), totals, counts)
 
 
 def daily(rows: DataFrame) -> DataFrame:
