@@ -172,6 +172,23 @@ def test_text_passes():
     assert got == [[-1, "a'b", None, 2.5]] and code(sqltext.rewrite_calls, "SELECT * FROM a.b.c(1)", {"b.c"}, str) in ("INVALID_FUNCTION", "UNKNOWN_FUNCTION")
 
 
+@pytest.mark.parametrize("sql, want", [
+    ("SELECT * FROM t WHERE a = 'x' OR A = 'y' OR a = 3 ORDER BY 1", "SELECT * FROM t WHERE a IN ('x', 'y', 3) ORDER BY 1"),
+    ("SELECT * FROM t WHERE (t.a = 1 OR t.a = 2) AND b = 3", "SELECT * FROM t WHERE (t.a IN (1, 2)) AND b = 3"),
+    ("SELECT * FROM t WHERE a = 1 OR b = 2", None), ("SELECT * FROM t WHERE a = 1 OR a = 2 AND b = 3", None), ("SELECT * FROM t WHERE b = 1 AND a = 1 OR a = 2", None),
+    ("SELECT * FROM t WHERE a = 1 OR a = 2 + 1", None), ("SELECT 'a = 1 OR a = 2'", None), ("SELECT * FROM t WHERE a = b OR a = c", None),
+])
+def test_or_chains(sql, want):
+    assert sqltext.rewrite_or(sql) == (want or sql)
+
+
+def test_or_reaches_the_api(spark, api, tmp_path):
+    e = Engine(spark, {"sources": [{"name": "api", "kind": "http", "config": {**api, "tables": [spec("/echo", params=[{"name": "k", "required": True}])]}}]}, root=str(tmp_path))
+    _Mock.seen.clear()
+    assert sorted(r.k for r in e.query("SELECT id, k FROM api.t WHERE k = 'a' OR k = 'b'").collect()) == ["a", "b"]
+    assert {"/echo?k=a", "/echo?k=b"} <= set(_Mock.seen)
+
+
 def test_json_columns(spark):
     df = spark.createDataFrame([('{"a":{"b":"x","n":3,"t":true,"z":null,"s":"1.5","f":1.5}}', '[1,"a",null,{"k":1}]'), ("bad", "bad"), (None, None), ("[]", '{"a":1}')], "j string, a string")
     r = df.select(J.extract_string(df.j, "a.b"), J.extract_string(df.j, "a.n"), J.extract_string(df.j, "a.t"), J.extract_string(df.j, "a.z"), J.get_float(df.j, "a", "s"), J.get_float(df.j, "a", "f"), J.contains(df.j, "a", "z"), J.elements(df.a), J.length(df.a), J.get_json(df.j, "a", "b")).collect()

@@ -166,7 +166,7 @@ class Engine:
             return view
 
         text = sqltext.rewrite_calls(text, set(self.functions.functions), resolve)
-        text = sqltext.rewrite_dialect(sqltext.rewrite_json_operators(text))
+        text = sqltext.rewrite_dialect(sqltext.rewrite_or(sqltext.rewrite_json_operators(text)))
         toks = sqltext.tokens(text)
         out, k = [], 0
         while k < len(toks):

@@ -80,6 +80,7 @@ def raw_spec(name: str) -> dict:
 
 def read_table(spark: SparkSession, source: dict, spec: dict, limit: int | None = None) -> DataFrame:
     spark.dataSource.register(HttpSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     r = spark.read.format("tributary_http").option("source", json.dumps(source)).option("spec", json.dumps(spec))
     return (r.option("limit", limit) if limit is not None else r).load()
 
