@@ -165,7 +165,7 @@ def http_dependent_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    return windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return windowed_counts(table(spark, d, "events"), "ts", ["event_type"], "1 day").select("start", "event_type", "n")
 
 
 QUERIES = {f.__name__: f for f in (src_csv, src_ndjson_declared, src_json_array, src_hive, src_segment, src_sqlite, src_duckdb, materialize_roundtrip, fn_file_glob, fn_file_grep, http_typed, http_dependent_join, stream_windows)}
