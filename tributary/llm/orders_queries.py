@@ -7,19 +7,20 @@ from tributary.llm import percentiles as pc
 from tributary.llm import topn
 from tributary.operators.keys import clean_key, current_rows, number
 from tributary.queries.tables import table
+from tributary.storage import written
 
 N = 5
 POINTS = {"p50": 5000, "p90": 9000, "p95": 9500, "p99": 9900}
 
 
 def _orders(spark: SparkSession, d: str, key: str) -> DataFrame:
-    o = current_rows(table(spark, d, "shop_orders"), "id", ["loaded_at", "delivery_id"], "id", key, "total_amount")
-    return o.select(clean_key(key).alias("grp"), number("total_amount").alias("value"), "id")
+    o = current_rows(table(spark, d, "shop_orders"), "id", ["loaded_at", "delivery_id"], "id", key, "total_amount", "loaded_at")
+    return o.select(clean_key(key).alias("grp"), number("total_amount").alias("value"), "id", F.to_date("loaded_at").alias("day"))
 
 
-def _sales(spark: SparkSession, d: str) -> DataFrame:
+def _sales(spark: SparkSession, d: str, by_day: bool = False) -> DataFrame:
     """Sales without their exact copies; rows that name no id are all kept."""
-    s = table(spark, d, "sales").select(clean_key("region").alias("grp"), number("amount").alias("value"), "id")
+    s = table(spark, d, "sales").select(clean_key("region").alias("grp"), number("amount").alias("value"), "id", *[F.col("ts").try_cast("date").alias("day")] * by_day)
     return s.filter(F.col("id").isNotNull()).distinct().unionByName(s.filter(F.col("id").isNull()))
 
 
@@ -41,11 +42,21 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return out.select("grp.src", F.col("grp.key").alias("grp"), "n", *POINTS)
 
 
+def p6_from_days(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per group and month, and over all months (month null), both put together from the same pieces of single days."""
+    named = lambda src, rows: rows.select(F.struct(F.lit(src).alias("src"), F.coalesce("grp", F.lit("")).alias("key"), "day").alias("grp"), "value")
+    days = written(pc.piece(named("shop_orders", _orders(spark, d, "shipping_country_code"))).unionByName(pc.piece(named("sales", _sales(spark, d, True)))), "days")
+    month = lambda m: days.select(F.struct("grp.src", "grp.key", m.alias("month")).alias("grp"), "value", "n")
+    both = month(F.date_format("grp.day", "yyyy-MM")).unionByName(month(F.lit(None).cast("string")))
+    out = pc.percentiles(pc.merge(both), POINTS)
+    return out.select("grp.src", F.col("grp.key").alias("grp"), "grp.month", "n", *POINTS)
+
+
 _TRIM = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)))"
 _ROWS = """
 WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, delivery_id DESC) AS nn FROM shop_orders) WHERE nn = 1),
-one AS (SELECT DISTINCT id, region, amount FROM (SELECT id, %s AS region, amount FROM sales)),
-r AS (SELECT 'shop_orders' AS src, %s AS grp, id, total_amount AS v FROM cur UNION ALL SELECT 'sales', region, id, amount FROM one)
+one AS (SELECT DISTINCT id, region, amount, ts FROM (SELECT id, %s AS region, amount, ts FROM sales)),
+r AS (SELECT 'shop_orders' AS src, %s AS grp, id, total_amount AS v, strftime(loaded_at, '%%Y-%%m') AS month FROM cur UNION ALL SELECT 'sales', region, id, amount, left(ts, 7) FROM one)
 """
 ORACLE = {
     "p3_found": _ROWS % (_TRIM.format("region"), _TRIM.format("tenant_id"))
@@ -58,4 +69,12 @@ ORACLE = {
     + ", ".join(f"max(v) FILTER (WHERE i = greatest(1, ({bp} * n + 9999) // 10000)) AS {p}" for p, bp in POINTS.items())
     + " FROM s GROUP BY src, grp, n",
 }
-QUERIES = {"p3_found": p3_found, "p6_percentiles": p6_percentiles}
+ORACLE["p6_from_days"] = (
+    _ROWS % (_TRIM.format("region"), _TRIM.format("shipping_country_code"))
+    + """, b AS (SELECT src, coalesce(grp, '') AS grp, month, v FROM r WHERE v IS NOT NULL AND NOT isnan(v)), k AS (SELECT * FROM b UNION ALL SELECT src, grp, NULL, v FROM b),
+    s AS (SELECT *, row_number() OVER (PARTITION BY src, grp, month ORDER BY v) AS i, count(*) OVER (PARTITION BY src, grp, month) AS n FROM k)
+    SELECT src, grp, month, n, """
+    + ", ".join(f"max(v) FILTER (WHERE i = greatest(1, ({bp} * n + 9999) // 10000)) AS {p}" for p, bp in POINTS.items())
+    + " FROM s GROUP BY src, grp, month, n"
+)
+QUERIES = {"p3_found": p3_found, "p6_percentiles": p6_percentiles, "p6_from_days": p6_from_days}
