@@ -81,6 +81,25 @@ def test_pii(text, want):
         assert all(v not in cut for _, v in want) and len(cut) == len(text) + sum(len(k) + 2 - len(v) for k, v in want)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Then Maria Schmidt called; maria schmidt again", [("name", "Maria Schmidt"), ("name", "maria schmidt")]),
+    ("Reported by Tazmek Vorlinde today", [("name", "Tazmek Vorlinde")]),
+    ("caller: tazmek vorlinde, 12 min", [("name", "tazmek vorlinde")]),
+    ("Kind regards,\nTazmek Vorlinde\n", [("name", "Tazmek Vorlinde")]),
+    ("handed over by J. Vorlinde and J. K. Vorlinde", [("name", "J. Vorlinde"), ("name", "J. K. Vorlinde")]),
+    ("Tazmek van der Vorlinde came, as did Dr. TAZMEK VORLINDE", [("name", "Tazmek van der Vorlinde"), ("name", "TAZMEK VORLINDE")]),
+    ("id;holder\n1;Vorlinde, Tazmek\n", [("name", "Vorlinde, Tazmek")]),
+    ("z. B. Montag; plan B. Restart the Maria Index job", []),
+    ("see 93 Bell Rd, Springfield 12345 now", [("address", "93 Bell Rd, Springfield 12345")]),
+    ("lives at 14 Elm Lane, paris 75001.", [("address", "14 Elm Lane, paris 75001")]),
+    ("lives at 12 Oak Street since", [("address", "12 Oak Street")]),
+    ("in der Hauptstraße 12, au 12 rue de la Paix", [("address", "Hauptstraße 12"), ("address", "12 rue de la Paix")]),
+    ("after 5 tries on the way", []),
+])
+def test_pii_outside_the_lists(text, want):
+    assert [(k, text[a:b]) for a, b, k in pii.find(text, pii.Names())] == want
+
+
 def test_pii_frames(spark):
     t = "Ada Fenwick, 364.555.0149"
     df = spark.createDataFrame([(1, t * 2000), (2, None), (3, ""), (None, t), (4, t), (4, t)], "doc_id bigint, text string")

@@ -9,6 +9,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tributary.llm import names_public
 from tributary.llm.offsets import Mapped, nfkc, replace, source_span
 from tributary.operators.spread import spread
 
@@ -107,12 +108,36 @@ _ADDRESS = [
     rf"(?:,? (?:(?i:apt\.?|unit|suite|flat|floor) ?\w+|\# ?\d+\w?))?{_GAP}{_TOWN}(?:{_GAP}\d{{5}}(?!\d))?",
     # street, number, unit, code, town
     rf"(?:(?i:am|an der|im|auf der|zum|zur) \p{{L}}[\p{{L}}-]+(?: \p{{L}}[\p{{L}}-]+)?|[\p{{L}}-]+(?i:straße|strasse|str\.|gasse|weg|allee|platz|ufer|ring|damm)) {_HOUSE}(?:{_GAP}\d{{5}} {_TOWN}| (?i:in) {_TOWN})",
-    rf"(?:(?i:calle|avda\.?|avenida|plaza|paseo|camino|ronda|travesía)|(?i:c/)) ?(?:(?i:de|del|la|las|los|el) )*[\p{{L}}]+(?: [\p{{L}}]+){{0,3}}?,? (?:(?i:n\.?º|núm\.|nº) ?)?{_HOUSE}"
-    rf"(?:, (?:(?i:piso \w+|bajo|ático|entresuelo|izda\.?|dcha\.?)|\d+\.?[ºª](?: \w\b)?))*(?:{_GAP}\d{{5}} {_TOWN}| - {_TOWN})",
+    rf"(?:(?i:calle|avda\.?|avenida|plaza|paseo|camino|ronda|travesía)|(?i:c/)) ?(?:(?i:de|del|la|las|los|el) )*[\p{{L}}]+(?: [\p{{L}}]+){{0,3}}?,? (?:(?i:n\.?[ºo]|núm\.|n[ºo]) ?)?{_HOUSE}"
+    rf"(?:, (?:(?i:piso \w+|bajo|ático|entresuelo|izda\.?|dcha\.?)|\d+\.?[ºªoa](?: \w\b)?))*(?:{_GAP}\d{{5}} {_TOWN}| - {_TOWN})",
     rf"{_HOUSE},? (?i:rue|avenue|av\.|bd|boulevard|impasse|place|quai|chemin|allée|cours|route|square) (?:[\p{{L}}'-]+ ?){{1,5}}?(?:{_GAP}\d{{5}} {_TOWN}| (?i:à) {_TOWN})",
 ]
 _ADDRESSES = regex.compile("(?<![\\w])(?:" + "|".join(_ADDRESS) + ")")
 
+# Addresses whose town stands in no list, in any case before or behind a code, and addresses without a town; the street is then capitalised.
+_ANY = r"[\p{L}'.-]+(?: [\p{L}'-]+){0,3}"
+_BARE_TOWN = rf"(?:(?:,? ?\r?\n ?|, ){_TOWN}|, \p{{Lu}}[\p{{L}}'-]+(?:[ -]\p{{Lu}}[\p{{L}}'-]+){{0,2}})"
+_ZIP = r"(?:\d{5}(?:-\d{4})?|[A-Z]{2},? \d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2})(?!\w)"
+_TAIL = rf"(?:{_GAP}\d{{5}} (?:{_TOWN}|\p{{L}}[\p{{L}}'-]+(?:[ -](?:(?:am|an|der|del|de|la|le|sur|sous)\b ?)*\p{{Lu}}[\p{{L}}'-]+)*)|(?: -|,? (?:in|à|en)) (?:{_TOWN}|\p{{Lu}}[\p{{L}}'-]+(?:[ -]\p{{Lu}}[\p{{L}}'-]+)*)|{_BARE_TOWN})"
+_EN = "(?i:road|rd|street|st|avenue|ave|lane|ln|terrace|court|ct|boulevard|blvd|drive|dr|way|close|square|place|row)\\b\\.?"
+_EN_CAP = "(?:(?=\\p{Lu})(?i:road|rd|street|st|avenue|ave|lane|ln|terrace|court|ct|boulevard|blvd|drive|dr|way|close|square|place|row)\\b\\.?)"
+_UNIT = r"(?:,? (?:(?i:apt\.?|unit|suite|flat|floor) ?\w+|\# ?\d+\w?))?"
+_FLAT = r"(?:(?i:flat|apt\.?|apartment|unit|suite) \d+\w?,? ?\r?\n?)?"
+_OPEN_ADDRESSES = regex.compile(
+    "(?<![\\w.,:/-])(?:"
+    rf"{_FLAT}\d{{1,5}}[A-Za-z]? (?:[\p{{L}}'-]+ ){{1,3}}?{_EN}{_UNIT}{_GAP}{_ANY}{_GAP}{_ZIP}"
+    rf"|{_FLAT}\d{{1,5}}[A-Za-z]? (?:\p{{Lu}}[\p{{L}}'-]+ ){{1,3}}?{_EN_CAP}{_UNIT}(?:{_GAP}{_ZIP}|{_BARE_TOWN}(?:{_GAP}{_ZIP})?)?"
+    rf"|(?:(?:Am|An der|Im|Auf der|Zum|Zur) \p{{Lu}}[\p{{L}}-]+(?: \p{{L}}[\p{{L}}-]+)?|(?:\p{{Lu}}[\p{{L}}-]+ )?[\p{{L}}-]+(?i:straße|strasse|str\.|gasse|weg|allee|platz|ufer|ring|damm)) {_HOUSE}{_TAIL}"
+    rf"|(?!(?i:speicher|arbeits|lager|stell|park|steck|liege|sitz|rück|transport|förder|daten|umweg|ausweg|lese|schreib))\p{{Lu}}[\p{{L}}-]*(?i:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm) {_HOUSE}"
+    rf"|(?:(?i:calle|avda\.?|avenida|plaza|paseo|camino|ronda|travesía)(?!\p{{L}})|(?i:c/)) ?(?:(?i:de|del|la|las|los|el) )*\p{{L}}+(?: [\p{{L}}]+){{0,3}}?,? (?:(?i:n\.?[ºo]|núm\.|n[ºo]) ?)?{_HOUSE}"
+    rf"(?:, (?:(?i:piso \w+|bajo|ático|entresuelo|izda\.?|dcha\.?)|\d+\.?[ºªoa](?: \w\b)?))*{_TAIL}?"
+    rf"|{_HOUSE},? (?i:rue|avenue|av\.|bd|boulevard|impasse|quai|chemin|allée|place|cours|route|square) (?:(?i:de|du|des|la|le|les) |(?i:l|d)['])*\p{{L}}[\p{{L}}-]*(?: (?:(?i:de|du|des|la|le|les) |(?i:l|d)['])*\p{{Lu}}[\p{{L}}-]*){{0,4}}{_TAIL}"
+    rf"|{_HOUSE},? (?i:rue|avenue|av\.|bd|boulevard|impasse|quai|chemin|allée|place) (?:(?i:de|du|des|la|le|les) |(?i:l|d)['])*\p{{Lu}}[\p{{L}}-]*(?: (?:(?i:de|du|des|la|le|les) |(?i:l|d)['])*\p{{Lu}}[\p{{L}}-]*){{0,4}}"
+    rf"|\d{{1,5}}[A-Za-z]? (?:[\p{{L}}'-]+ ){{1,3}}?{_EN},? (?:(?i:apt\.?|unit|suite|flat|floor) ?\d\w*|\# ?\d+\w?){_GAP}\p{{L}}[\p{{L}}'-]+(?: [\p{{L}}'-]+)?(?= ?(?:[.,;|\r\n]|$))"
+    rf"|(?<=[\r\n])\d{{1,5}} (?:[\p{{L}}'-]+ ){{1,2}}(?i:road|rd|street|st|avenue|ave|lane|ln|terrace|court|boulevard|blvd|drive)\.?,? [\p{{L}}'-]+(?: [\p{{L}}'-]+)?(?=[\r\n])"
+    ")(?!\\w)"
+)
+
 # Given names.
 GIVEN = (
     "Ines Callum Gideon Wren Amos Silas Edmund Nia Beth Hollis Rowan Odette Ada Tess Priya Mira Jonah Marcus Tomás Raúl Marisol Nuria Joaquín Ximena Gonzalo Begoña Íñigo Ramiro Inés "
@@ -135,6 +160,7 @@ class Names:
     def __init__(self, given=GIVEN, first=FIRST_PARTS, last=LAST_PARTS, family=()):
         fam = "(?:(?:" + "|".join(first) + ")(?:" + "|".join(last) + ")" + "".join("|" + regex.escape(x) for x in family) + ")"
         self.families = {(a + b).lower() for a in first for b in last} | {w.lower() for x in family for w in _WORDS.findall(x)}
+        self.given = {w.lower() for w in given}
         self.family = fam = rf"(?:{fam}(?:-{fam})?(?![\p{{L}}\d]))"
         name, more = "(?:" + "|".join(given) + r")(?![\p{L}\d])", r"(?: \p{L}\.(?! \p{L}\.))"
         part = r"(?:(?:von der|von|van der|van den|van|de la|de los|de|del|della|di|da|du|le|la|zu|zur) )"
@@ -160,6 +186,150 @@ _CAP = r"\p{Lu}\p{Ll}+(?:['-]\p{Lu}?\p{Ll}+)*"
 _TITLED = regex.compile(rf"(?<!\w){_TITLE} (?:{_TITLE} )?(?P<v>(?:{_CAP}|\p{{Lu}}\.)(?: \p{{Lu}}\.)?(?: (?:von|van|de|del|di|da|du))? {_CAP})(?!\w)")
 
 
+_TOKEN = rf"(?:{_CAP}|\p{{Lu}}\p{{L}}*(?:['-]\p{{L}}+)*)"
+_OF_NAME = r"(?:(?i:von der|von|van der|van den|van|de la|de los|de|del|della|di|da|du|le|la|zu|zur) )"
+_INITIAL = r"\p{L}\.(?! ?\p{L}\.)"
+#: Two to four capitalised words, the first perhaps an initial, or the family name first.
+_SHAPE = rf"(?:(?:{_TOKEN}|(?:\p{{Lu}}\. ?){{1,3}})(?: {_INITIAL})*(?: {_TOKEN})? {_OF_NAME}?{_TOKEN}|(?:\p{{Lu}}\. ?){{1,3}}{_TOKEN}|{_OF_NAME}?{_TOKEN}(?: {_TOKEN})?, ?(?:{_TOKEN}|\p{{Lu}}\.)(?: {_INITIAL})*(?=[ ]?(?:[,;:|<(\r\n\"]|$|\p{{Ll}})))"
+#: The same in any case, where all that stands in a field is a name.
+_FIELD = r"(?:(?:\p{L}\. ?){1,3}|\p{L}[\p{L}'-]+ )(?:\p{L}\. )?(?:\p{L}[\p{L}'-]+ ){0,2}\p{L}[\p{L}'-]+|\p{L}[\p{L}'-]+(?: \p{L}[\p{L}'-]+){0,2}, ?(?:\p{L}[\p{L}'-]+|\p{L}\.)(?: \p{L}\.)*"
+# Labels of persons, as last words before : or = or as names of columns, and phrases that a person follows.
+_PERSON = (
+    "caller|recipient|contact|customer|client|holder|owner|assignee|reporter|requester|employee|patient|applicant|author|sender|signatory|attn|fullname|surname|anrufer(?:in)?|empfänger(?:in)?|"
+    "ansprechpartner(?:in)?|kontakt|kundin|kunde|inhaber(?:in)?|absender(?:in)?|melder(?:in)?|bearbeiter(?:in)?|mitarbeiter(?:in)?|destinatari[oa]|contacto|cliente|titular|remitente|solicitante|empleado|"
+    "interlocutor(?:a)?|destinataire|titulaire|expéditeur|demandeur|appelant(?:e)?|interlocuteur|(?:full|customer|contact|first|last|client|holder)[ _]name|nombre y apellidos|nombre completo|nom et prénom|vor- und nachname|name|nombre|nom"
+)
+_PHRASE = (
+    "(?:signed|reported|assigned|approved|reviewed|written|requested|submitted|sent|received|collected|confirmed|verified|opened|closed|handled|called|raised)(?: for)? (?:by|to)|spoke (?:to|with)|talked to|on behalf of|"
+    "verified|unterschrieben von|gemeldet von|erfasst von|bearbeitet von|zugewiesen an|im namen von|gesprochen mit|adresse von|avisado por|firmado por|asignado a|en nombre de|a nombre de|hablé con|dirección de|"
+    "signalé par|signé par|assigné à|attribué à|au nom de|parlé (?:à|avec)|adresse de|titular|the row for"
+)
+_HAS_LABEL = regex.compile(rf"(?i)(?<![\p{{L}}])(?:(?P<l>{_PERSON})[\"']? ?[:=] ?[\"']?|(?:from|von|de|to|para|an|à)(?<=\n....|^....|\n...|^...|\n..|^..|\n.|^.): |(?P<p>{_PHRASE}) )")
+_AFTER_LABEL = regex.compile(rf"(?:{_TITLE} )*(?P<v>{_SHAPE})(?![\p{{L}}\d@_(])")
+_IN_FIELD = regex.compile(rf"(?:{_TITLE} )*(?P<v>{_FIELD})(?= ?(?:[;|<(\r\n\"]|,(?! ?\p{{L}})|$| tel|[.](?:\s|$)))")
+_CLOSING = regex.compile(
+    r"(?i)(?<!\w)(?:(?:(?:kind|best|warm) )?regards|sincerely|yours (?:truly|faithfully|sincerely)|best wishes|cheers|thanks|thank you|(?:mit )?(?:freundlichen|besten|vielen|viele|freundliche|liebe|beste) grüßen?|mfg|danke|"
+    r"(?:un )?(?:cordial )?saludos?|atentamente|gracias|cordialement|bien à vous|salutations|merci),?[ ]*\r?\n\s*"
+)
+_SIGNED = regex.compile(rf"(?P<v>{_FIELD})(?=[ ]*(?:[\r\n]|$))")
+_CLOSES = set("regards sincerely truly faithfully wishes cheers thanks you grüßen grüße mfg danke saludo saludos atentamente gracias cordialement vous salutations merci".split())
+_TO_MAIL = regex.compile(rf"(?:^|[;|\r\n\t]|(?<=[:;|,\"] ))\"?(?P<v>{_FIELD})\"?(?: ?[<;|\t(] ?| \(mailto:)$")
+_NEAR_INITIAL = regex.compile(rf"(?:(?<=[|;:=\"<(\t] ?)|(?<=(?<!\p{{L}})(?i:by|to|from|with|for|and|dear|von|mit|bei|an|für|und|por|para|con|y|par|pour|avec|à|et) ))(?P<v>(?:\p{{Lu}}\. ?){{1,3}}{_OF_NAME}?{_CAP})(?![\p{{L}}\d@])")
+_MANY_INITIALS = regex.compile(rf"(?<![\p{{L}}\d.])(?<!\p{{Ll}}\. )(?!(?:U\. ?S|P\. ?[SO]|N\. ?B|Z\. ?B|D\. ?H|U\. ?A|E\. ?G|I\. ?E)\.)(?P<v>(?:\p{{Lu}}\. ?){{2,3}}{_OF_NAME}?{_CAP})(?![\p{{L}}\d@])")
+_VAN = regex.compile(rf"(?<![\p{{L}}\d@-])(?P<v>{_CAP}(?: \p{{Lu}}\.)* (?:van der|van den|van de|van|von|della|ten|ter) {_CAP})(?![\p{{L}}\d@])")
+_BY_GIVEN = regex.compile(rf"(?P<v>(?:{_TOKEN}[ -])?(?:{_INITIAL} )*{_OF_NAME}?{_TOKEN}(?:-{_TOKEN})?)(?![\p{{L}}\d@_(])")
+_BEFORE_GIVEN = regex.compile(rf"(?<![\p{{L}}\d@-])(?P<v>{_OF_NAME}?{_TOKEN}(?:-{_TOKEN})?, ?)$")
+_TITLED_ANY = regex.compile(rf"(?<!\w){_TITLE} (?:{_TITLE} )?(?P<v>\p{{Lu}}{{2,}}(?: \p{{Lu}}\.)?(?: {_OF_NAME})?(?: \p{{Lu}}{{2,}}(?:-\p{{Lu}}+)?){{1,2}}|{_CAP}(?: {_CAP})?, (?:{_CAP}|\p{{Lu}}\.)(?: \p{{Lu}}\.)*)(?!\w)")
+# Words that are no part of a name where one is guessed from what stands around it.
+_NO_NAME = set(
+    "the a an and or not no see none null all any please call check order parcel batch ticket page item note build version error warning info service server team group desk support data table column row id "
+    "customer client warehouse system release pipeline job queue query config metric user admin account address phone mail email name street road monday tuesday wednesday thursday friday saturday sunday january "
+    "february march april may june july august september october november december der die das und oder nicht kein siehe bitte team gruppe dienst lager system abteilung kunde montag dienstag mittwoch donnerstag "
+    "freitag el los las y o por favor equipo grupo servicio almacén sistema lunes martes miércoles jueves viernes les et ou équipe groupe service entrepôt système lundi mardi mercredi jeudi vendredi this that "
+    "it is are was has have for from with to in on at by of we i you he she they our your my then when after before if but is sent via hello hi dear hallo liebe lieber hola bonjour inc ltd gmbh sl sa sas corp "
+    "company bank office department north south east west new unknown pending open closed done todo select insert update true false".split()
+)
+
+
+_PARTICLES = set("von der zu zur van den de del della di da du la le los y e".split())
+
+
+_TOWNS = {x.lower() for x in TOWNS}
+#: An article, behind which a given name belongs to a thing.
+_ARTICLE = regex.compile(r"(?i)(?<!\p{L})(?:the|an?|el|la|los|las|una?|le|les|une|das|dem|ein|eine) $")
+
+
+class _Triggers:
+    """Words that open a window for names of no list."""
+
+    labels = {w.lower() for w in _WORDS.findall(regex.sub(r"\(\?:", " ", _PERSON + "|" + _PHRASE))} | {"anruferin", "empfängerin", "ansprechpartnerin", "inhaberin", "absenderin", "kundin", "destinataria", "destinatario", "appelante", "from", "von"}
+
+
+def _likely(name: str) -> bool:
+    """Whether no word of a guessed name is an everyday one."""
+    if name.lower() in _TOWNS:
+        return False
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return not any(len(w) > 1 and w in _NO_NAME and w not in _PARTICLES for w in words) and any(len(w) > 2 and w not in _PARTICLES for w in words)
+
+
+def _open_names(t: str, labels: list[tuple[int, int]], closes: list[tuple[int, int]], givens: list[tuple[int, int]], verbs: list[tuple[int, int]], mails: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Names that need no list: behind titles, labels, closings of letters, as the field before an email address, by initials or particles; and by common given names."""
+    n, given, starts = len(t), {t[a:b].lower() for a, b in givens}, {a for a, _ in mails}
+    behind = set()
+    for a, b in givens:
+        if (x := _TITLE_BEFORE.search(t, max(0, a - 12), a)) and (y := _GIVEN_ANY.match(t, a, min(n, a + 90))):
+            yield y.span("v")
+    for a, _ in verbs:
+        if x := _BEFORE_VERB.search(t, max(0, a - 70), a):
+            yield x.span("v")
+    for m in _TITLED_ANY.finditer(t):
+        yield m.span("v")
+    for w in _windows(labels, 40, n):
+        for m in _HAS_LABEL.finditer(t, *w):
+            end = min(n, m.end() + 90)
+            behind.add(m.end())
+            x = _AFTER_LABEL.match(t, m.end(), end)
+            if not x and m["l"] and m["l"].lower() not in ("name", "nombre", "nom"):
+                x = _IN_FIELD.match(t, m.end(), end)
+            if not x and ((y := _GIVEN_ANY.match(t, m.end(), end)) and y["g"].lower() in given or (y := _FIELD_THEN_MAIL.match(t, m.end(), end)) and y.end() in starts):
+                x = y
+            if x and not (m["l"] and m["l"] in ("name", "nombre", "nom") and '"' not in m[0]):
+                yield x.span("v")
+    for w in _windows(closes, 30, n):
+        for m in _CLOSING.finditer(t, *w):
+            if x := _SIGNED.match(t, m.end(), min(n, m.end() + 90)):
+                yield x.span("v")
+    for a, _ in mails:
+        if x := _TO_MAIL.search(t, max(0, a - 90), a):
+            yield x.span("v")
+    for p in (_NEAR_INITIAL, _MANY_INITIALS, _VAN):
+        for m in p.finditer(t):
+            yield m.span("v")
+    for a, b in givens:
+        if _ARTICLE.search(t, max(0, a - 6), a):
+            continue
+        if b < n and t[b] in " -" and t[a].isupper() and (x := _BY_GIVEN.match(t, b + 1, min(n, b + 90))):
+            yield a, x.end("v")
+        elif b < n and t[b] == " " and (x := _WORDS.match(t, b + 1)) and x[0].lower() in names_public.FAMILY:
+            yield a, x.end()
+        if x := _BEFORE_GIVEN.search(t, max(0, a - 60), a):
+            fam = _WORDS.findall(x["v"])[-1].lower()
+            line = x.start() == 0 or t[x.start() - 1] in "\r\n|;\t\"" or t[max(0, x.start() - 2) : x.start()] in (": ", "| ", "= ")
+            if fam in names_public.FAMILY or line or x.start() in behind or _TITLE_BEFORE.search(t, max(0, x.start() - 12), x.start()):
+                yield x.start("v"), b
+
+
+def _columns(t: str) -> Iterator[tuple[int, int]]:
+    """The fields of columns that a line of headings says hold persons, in tables with | or ; or tabs."""
+    at, cols, sep = 0, [], ""
+    for line in t.splitlines(keepends=True):
+        if not sep:
+            for s in ";|\t":
+                cells = [c.strip().strip('"').lower() for c in line.split(s)]
+                if len(cells) > 1 and (cols := [k for k, c in enumerate(cells) if _COLUMN.fullmatch(c)]):
+                    sep = s
+                    break
+        elif sep not in line:
+            sep = ""
+        else:
+            cells, a = line.split(sep), at
+            for k, c in enumerate(cells):
+                if k in cols and (m := _CELL.fullmatch(c)):
+                    yield a + m.start("v"), a + m.end("v")
+                a += len(c) + len(sep)
+        at += len(line)
+
+
+_GIVEN_ANY = regex.compile(rf"(?:{_TITLE} )?(?P<v>(?P<g>\p{{L}}+)(?:[ -]\p{{L}}+(?=[ ]\p{{L}}+-))?(?: \p{{L}}\.)* {_OF_NAME}?\p{{L}}{{2,}}(?:-\p{{L}}+)?)(?![\p{{L}}\d@_])")
+_FIELD_THEN_MAIL = regex.compile(rf"(?P<v>{_FIELD}) ?[(<]")
+_TITLE_BEFORE = regex.compile(rf"(?<!\w){_TITLE} $")
+_VERBS = set("wrote writes called calls asks asked says said moved escribe pide llamó dice écrit demande dit".split())
+_BEFORE_VERB = regex.compile(rf"(?:^|(?<=[\r\n.!?…] ?))(?P<v>{_SHAPE}) $")
+_COLUMN = regex.compile(rf"(?i)(?:{_PERSON})")
+_CELL = regex.compile(rf'\s*"?(?:{_TITLE} )?(?P<v>{_FIELD})"?\s*')
+
+
 # Words that streets are called by, whole or as a word's end.
 _STREETS = set(
     "road rd street st avenue ave lane ln terrace court ct boulevard blvd drive dr way close square place row am an im auf zum zur calle avda avenida plaza paseo camino ronda travesía c "
@@ -199,13 +369,21 @@ def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
             taken[a:b] = b"\1" * (b - a)
             got.append((a, b, kind))
 
-    n, families, streets = len(t), [], []
+    n, families, streets, labels, closes, givens, verbs = len(t), [], [], [], [], [], []
     for m in _WORDS.finditer(t):
         w = m[0].lower()
         if w in names.families:
             families.append(m.span())
         if w in _STREETS or w.endswith(_STREET_ENDS):
             streets.append(m.span())
+        if w in names_public.GIVEN or w in names.given:
+            givens.append(m.span())
+        if w in _Triggers.labels:
+            labels.append(m.span())
+        if w in _VERBS:
+            verbs.append(m.span())
+        if w in _CLOSES:
+            closes.append(m.span())
     if "@" in t:
         for m in _EMAIL.finditer(t):
             add(*m.span(), "email")
@@ -224,10 +402,16 @@ def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     for m in (m for w in runs for m in _TYPED.finditer(t, *w)):
         if not _THING.search(t, max(0, m.start() - 40), m.start()):
             add(*m.span(), "id_number")
+    for m in (m for w in _windows(streets, 110, n) for m in _OPEN_ADDRESSES.finditer(t, *w)):
+        add(*m.span(), "address")
     for a, b in names.spans(t, families):
         add(a, b, "name")
     for m in _TITLED.finditer(t):
         add(*m.span("v"), "name")
+    mails = [(a, b) for a, b, k in got if k == "email"]
+    for a, b in [*_open_names(t, labels, closes, givens, verbs, mails), *(_columns(t) if "|" in t or ";" in t or "\t" in t else ())]:
+        if _likely(t[a:b]):
+            add(a, b, "name")
     return [(*source_span(mapped, a, b, len(text)), k) for a, b, k in sorted(got)]
 
 
