@@ -148,6 +148,43 @@ def test_store(spark, tmp_path):
     assert s.entries() == {}
 
 
+def test_snapshots_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    from tributary import storage
+    from tributary.queries import sources
+
+    e = Engine(spark)
+    assert e.root.startswith(storage.qualified(spark, storage.shared_dir(spark))) and sources.scratch(spark).startswith(storage.qualified(spark, storage.shared_dir(spark)))
+    e.materialize("t", rows=b'[{"a": 1}, {"a": 2}]', fmt="json")
+    assert e.store.uri.startswith(storage.qualified(spark, storage.shared_dir(spark)).replace("file:/", "file:///", 1).replace("file://///", "file:///")) and e.table("materialized.t").count() == 2
+
+    class Cluster:
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    assert code(st.Store, Cluster, str(tmp_path)) == "STORE_NOT_SHARED"
+    st.Store(Cluster, f"file://{tmp_path}/mounted")
+
+
+def test_store_through_hadoop(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "local", lambda _: None)  # what isn't the driver's own disk goes by Hadoop's file systems
+    monkeypatch.setattr(st, "LOCK_S", 0)
+    root = f"file://{tmp_path}"
+    s = st.Store(spark, root, "ns")
+    assert s.entries() == {} and s.put("a", spark.range(3), True) and s.get("a").count() == 3 and s.fresh("a")
+    s.put("a", spark.range(4), True)
+    assert s.get("a").count() == 4 and st.namespaces(root, spark) == ["ns"] and s.vacuum() == []
+    s.put("b", spark.range(1), False)
+    assert s.invalidate() == ["b"] and sorted(s.entries()) == ["a"]
+    s.files.delete(f"{s.path}/{s.entries()['a']['path']}/_SUCCESS")
+    assert code(s.get, "a") == "UNKNOWN_MATERIALIZED" and s.entries() == {} and len(s.vacuum()) == 1
+    s.files.write(f"{s.path}/.lock", b"")
+    assert code(s.put, "c", spark.range(1), True) == "STORE_LOCKED"
+    s.files.delete(f"{s.path}/.lock")
+    s.files.write(s._manifest, b"{")
+    assert s.entries() == {}
+    st.drop_namespace(root, "ns", spark)
+    assert st.namespaces(root, spark) == []
+
+
 def test_materialize_forms(shop, tmp_path):
     shop.materialize("q", query="SELECT status, count(*) AS n FROM shop.orders GROUP BY status")
     shop.materialize("f", path=f"{tmp_path}/customers.csv")

@@ -20,10 +20,17 @@ from tributary.queries.tables import table
 from tributary.service import Engine
 from tributary.sources import file as fs
 from tributary.sources.http import table as http
+from tributary.storage import Files, new_path, qualified
 from tributary.streaming.windows import windowed_counts
 
 
-def scratch() -> str:
+def scratch(spark: SparkSession) -> str:
+    """URI of a new folder that all executors share, for what Spark writes or reads."""
+    return qualified(spark, new_path(spark, "scratch"))
+
+
+def own_folder() -> str:
+    """A folder of the driver's own, for what only the driver reads."""
     d = tempfile.mkdtemp(prefix="tributary-q-")
     atexit.register(shutil.rmtree, d, ignore_errors=True)
     return d
@@ -34,82 +41,80 @@ def _nation(spark: SparkSession, d: str) -> list:
 
 
 def src_csv(spark: SparkSession, d: str) -> DataFrame:
-    p = scratch()
+    p = scratch(spark)
     table(spark, d, "customer").write.csv(f"{p}/c.csv", header=True, sep="\t")
     return fs.read_table(spark, f"{p}/c.csv", {"csv": {"delimiter": "\\t"}})
 
 
 def src_ndjson_declared(spark: SparkSession, d: str) -> DataFrame:
-    p = scratch()
+    p = scratch(spark)
     table(spark, d, "events").select("event_id", F.col("value").alias("n"), F.struct("user_id").alias("o"), "event_type").write.json(f"{p}/e.json")
     schema = [{"name": "event_id", "type": "varchar"}, {"name": "n", "type": "bigint"}, {"name": "o", "type": "json"}, {"name": "event_type", "type": "double"}, {"name": "absent", "type": "int"}]
     return fs.read_table(spark, f"{p}/e.json", {"schema": schema})
 
 
 def src_json_array(spark: SparkSession, d: str) -> DataFrame:
-    p = scratch()
-    with open(f"{p}/n.json", "w") as f:
-        json.dump([r.asDict() for r in _nation(spark, d)], f)
-    return fs.read_table(spark, f"{p}/n.json").select("n_nationkey", "n_name")
+    p = scratch(spark)
+    Files(spark, p).write(f"{p}/n.json", json.dumps([r.asDict() for r in _nation(spark, d)]).encode())
+    return fs.read_table(spark, f"{p}/n.json", {} if p.startswith("file:") else {"json": {"format": "array"}}).select("n_nationkey", "n_name")
 
 
 def src_hive(spark: SparkSession, d: str) -> DataFrame:
-    p = scratch()
+    p = scratch(spark)
     table(spark, d, "part").select("p_partkey", "p_type", "p_size").write.partitionBy("p_type").parquet(f"{p}/t")
     return fs.read_table(spark, f"{p}/t", {"format": "parquet", "partition_cols": [{"name": "p_type", "type": "varchar"}]}).filter("p_type = 'PROMO'")
 
 
 def src_segment(spark: SparkSession, d: str) -> DataFrame:
-    p = scratch()
+    p = scratch(spark)
     for t in ("F", "O"):
         table(spark, d, "orders").filter(F.col("o_orderstatus") == t).select("o_orderkey").coalesce(1).write.parquet(f"{p}/base/{t}/x")
     return fs.read_table(spark, f"{p}/base/*/x", {"format": "parquet", "segments": [{"name": "status", "index": 0}]})
 
 
 def src_sqlite(spark: SparkSession, d: str) -> DataFrame:
-    p = scratch()
+    p = own_folder()
     con = sqlite3.connect(f"{p}/n.db")
     con.execute("CREATE TABLE nation (id INTEGER, region_id INTEGER, name TEXT)")
     con.executemany("INSERT INTO nation VALUES (?, ?, ?)", [(r["n_nationkey"], r["n_regionkey"], r["n_name"]) for r in _nation(spark, d)])
     con.commit()
     con.close()
-    e = Engine(spark, {"sources": [{"name": "crm", "kind": "sqlite", "config": {"path": f"{p}/n.db"}}]}, root=f"{p}/store")
+    e = Engine(spark, {"sources": [{"name": "crm", "kind": "sqlite", "config": {"path": f"{p}/n.db"}}]})
     return e.query("SELECT region_id, count(*) AS n FROM crm.nation WHERE id > 3 GROUP BY region_id").df
 
 
 def src_duckdb(spark: SparkSession, d: str) -> DataFrame:
     import duckdb
 
-    p = scratch()
+    p = own_folder()
     con = duckdb.connect(f"{p}/x.duckdb")
     con.execute(f"CREATE TABLE supplier AS SELECT * FROM read_parquet('{d}/supplier.parquet')")
     con.close()
-    e = Engine(spark, {"sources": [{"name": "wh", "kind": "duckdb", "config": {"path": f"{p}/x.duckdb"}}]}, root=f"{p}/store")
+    e = Engine(spark, {"sources": [{"name": "wh", "kind": "duckdb", "config": {"path": f"{p}/x.duckdb"}}]})
     return e.query("SELECT s_nationkey, count(*) AS n FROM wh.supplier s GROUP BY s_nationkey").df
 
 
 def materialize_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    p = scratch()
-    e = Engine(spark, {"sources": [{"name": "tpch", "kind": "file", "config": {"path": f"{d}/*.parquet"}}]}, root=f"{p}/store")
+    e = Engine(spark, {"sources": [{"name": "tpch", "kind": "file", "config": {"path": f"{d}/*.parquet"}}]})
     e.materialize("by_priority", query="SELECT o_orderpriority, count(*) AS n FROM tpch.orders GROUP BY o_orderpriority")
     return e.query("-- tributary: materialize top\nSELECT o_orderpriority, n FROM materialized.by_priority WHERE n > ${param:least}", {"least": "1"}).df
 
 
 def fn_file_glob(spark: SparkSession, d: str) -> DataFrame:
-    p = scratch()
+    p = own_folder()
     for r in _nation(spark, d):
         with open(f"{p}/{r['n_name']}.txt", "w") as f:
             f.write(f"key {r['n_nationkey']}\nregion {r['n_regionkey']}\n")
-    e = Engine(spark, {"base": p}, root=f"{p}/store")
+    e = Engine(spark, {"base": p})
     return e.query("SELECT file_name, size_bytes FROM file.glob('NATION_1*.txt')").df
 
 
 def fn_file_grep(spark: SparkSession, d: str) -> DataFrame:
-    p = scratch()
+    p = own_folder()
     for r in _nation(spark, d):
         with open(f"{p}/{r['n_name']}.txt", "w") as f:
             f.write(f"key {r['n_nationkey']}\nregion {r['n_regionkey']}\n")
-    e = Engine(spark, {"base": p}, root=f"{p}/store")
+    e = Engine(spark, {"base": p})
     return e.query("SELECT line, count(*) AS n FROM file.grep('^region [12]$', '*.txt') GROUP BY line").df
 
 

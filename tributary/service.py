@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -13,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary import config as cfg
+from tributary import storage
 from tributary import store as st
 from tributary.errors import EngineError
 from tributary.functions import scalar
@@ -59,7 +59,7 @@ class Handle:
 class Engine:
     def __init__(self, spark: SparkSession, config: dict | None = None, root: str | None = None, namespace: str = "default", redact: str = "literals"):
         self.spark, self.config = configure(spark), cfg.check(config or {})
-        self.root = root or tempfile.mkdtemp(prefix="tributary-store-")
+        self.root = root or storage.qualified(spark, f"{storage.shared_dir(spark)}/tributary-stores/{uuid.uuid4().hex}")
         self.namespace, self.redact = namespace, redact
         self.store = st.Store(spark, self.root, namespace)
         self.functions = Registry(spark, self.config.get("base", "."), tuple(self.config.get("allowed_hosts", ())))
@@ -118,7 +118,7 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         """DataFrame of ``source.table``, ``materialized.t``, ``namespace.source.table``, or a system table."""
         parts = name.split(".")
-        if parts[0] in st.namespaces(self.root) and len(parts) == 3 and parts[0] not in self.sources:
+        if parts[0] in st.namespaces(self.root, self.spark) and len(parts) == 3 and parts[0] not in self.sources:
             s = st.Store(self.spark, self.root, parts[0])
             return s.get(parts[2] if parts[1] == "materialized" else f"{parts[1]}.{parts[2]}")
         if len(parts) == 2:
@@ -198,7 +198,7 @@ class Engine:
         if len(parts) == 2:
             return parts[1] in self.tables.get(parts[0], {}) or (parts[0] == "materialized" and parts[1] in self.store.entries()) or (parts[0] == "semantic" and parts[1] in self.store.entries()) or (
                 parts[0] == "system" and parts[1] in ("activity", "variables")) or (parts[0] == "information_schema" and parts[1] in ("tables", "columns"))
-        return len(parts) == 3 and parts[0] in st.namespaces(self.root)
+        return len(parts) == 3 and parts[0] in st.namespaces(self.root, self.spark)
 
     def explain(self, sql: str, params: dict[str, str] | None = None) -> str:
         df = self._plan(sqltext.substitute_params(sql, params))
@@ -262,12 +262,13 @@ class Engine:
         elif df is None and path is not None:
             df, spec = file_source.read_table(self.spark, path), {"path": path}
         elif df is None and rows is not None:
-            with tempfile.NamedTemporaryFile(suffix=f".{fmt}", delete=False) as f:
-                f.write(rows)
+            at = storage.qualified(self.spark, f"{storage.new_path(self.spark, 'inline')}.{fmt}")
+            files = storage.Files(self.spark, at)
+            files.write(at, rows)
             try:
-                return s.put(name, file_source.read_table(self.spark, f.name), True, {"inline": fmt})
+                return s.put(name, file_source.read_table(self.spark, at, {"json": {"format": "array" if rows.lstrip()[:1] == b"[" else "ndjson"}}), True, {"inline": fmt})
             finally:
-                os.unlink(f.name)
+                files.delete(at)
         if df is None:
             raise EngineError("INVALID_ARGUMENT", "materialize needs a query, a path or rows")
         return s.put(name, df, True, spec)
@@ -293,7 +294,7 @@ class Engine:
         self.store.drop(name)
 
     def drop_namespace(self, namespace: str) -> None:
-        st.drop_namespace(self.root, namespace)
+        st.drop_namespace(self.root, namespace, self.spark)
 
     def invalidate_cache(self, prefix: str = "") -> list[str]:
         return self.store.invalidate(prefix)

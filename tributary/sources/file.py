@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tributary.errors import EngineError
 from tributary.sources.types import json_cell, spark_type, struct_of
+from tributary.storage import local
 
 # Formats by file ending.
 _ENDINGS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json", ".ndjson": "json"}
@@ -71,7 +72,7 @@ def _layout(path: str, given: str) -> str:
         return given
     if _REMOTE.match(path):
         return "ndjson"
-    first = _first_byte(path)
+    first = _first_byte(local(path) or path)
     if first not in ("[", "{", ""):
         raise EngineError("BAD_FORMAT", f"{path!r} holds neither JSON objects nor an array of them")
     return "array" if first == "[" else "ndjson"

@@ -32,6 +32,60 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tributary/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, that of the default file system where it names none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def local(path: str) -> str | None:
+    """A file: URI or a path without a scheme as the driver's own path, else None."""
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    return None if "://" in path else path
+
+
+class Files:
+    """What a store does to files that aren't the driver's own, by Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession, uri: str):
+        self.jvm, self.conf, self.gateway = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gateway
+        self.fs = self.path(uri).getFileSystem(self.conf)
+
+    def path(self, uri: str):
+        return self.jvm.org.apache.hadoop.fs.Path(uri)
+
+    def exists(self, uri: str) -> bool:
+        return self.fs.exists(self.path(uri))
+
+    def folders(self, uri: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(uri)) if s.isDirectory()) if self.exists(uri) else []
+
+    def delete(self, uri: str) -> None:
+        self.fs.delete(self.path(uri), True)
+
+    def read(self, uri: str) -> str:
+        stream = self.fs.open(self.path(uri))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, uri: str, data: bytes, new: bool = False) -> None:
+        """Write a file; with ``new`` it fails where the file is there already."""
+        stream = self.fs.create(self.path(uri), not new)
+        try:
+            stream.write(data)
+        finally:
+            stream.close()
+
+    def replace(self, a: str, b: str) -> None:
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self.path(a), self.path(b), how)
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back with its own schema."""
     spark = df.sparkSession

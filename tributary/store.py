@@ -15,8 +15,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.errors import EngineError
+from tributary.storage import Files, local
 
 _NAME = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_.-]{0,127}")
+#: Seconds to wait for the lock of a store that isn't on a local or mounted disk.
+LOCK_S = 60
 _UNITS = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 
@@ -38,12 +41,21 @@ def check_name(name: str) -> str:
 
 class Store:
     """Snapshots of one namespace under ``root/namespace``. Entries are pinned (materialized) or expire (cached). A write goes to a new directory first and
-    becomes visible by the manifest's replacement, so readers see the old snapshot or the new one whole; the manifest is guarded by a file lock."""
+    becomes visible by the manifest's replacement, so readers see the old snapshot or the new one whole; the manifest is guarded by a file lock.
+
+    ``root`` is the URI of a folder that all executors share, file: being a mounted one. A path without a scheme is the driver's own and refused on a cluster,
+    whose executors would each write their part of a snapshot to a disk of their own."""
 
     def __init__(self, spark: SparkSession, root: str, namespace: str = "default"):
         self.spark, self.root, self.namespace = spark, root, check_name(namespace)
-        self.path = os.path.join(root, namespace)
-        os.makedirs(self.path, exist_ok=True)
+        if "://" not in root and not root.startswith("file:") and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise EngineError("STORE_NOT_SHARED", f"{root!r} names no file system that all executors share; give the root as a URI, file:// for a mounted one")
+        own = local(root)
+        self.files = None if own is not None else Files(spark, root)
+        self.path = os.path.join(root if own is None else own, namespace)
+        self.uri = self.path if self.files else "file://" + os.path.abspath(self.path)
+        if not self.files:
+            os.makedirs(self.path, exist_ok=True)
 
     @property
     def _manifest(self) -> str:
@@ -51,16 +63,26 @@ class Store:
 
     def entries(self) -> dict[str, dict]:
         try:
+            if self.files:
+                return json.loads(self.files.read(self._manifest)) if self.files.exists(self._manifest) else {}
             with open(self._manifest) as f:
                 return json.load(f)
         except FileNotFoundError:
             return {}
         except ValueError:
-            os.replace(self._manifest, f"{self._manifest}.bad-{uuid.uuid4().hex[:8]}")
+            (self.files or os).replace(self._manifest, f"{self._manifest}.bad-{uuid.uuid4().hex[:8]}")
             return {}
 
     @contextmanager
     def _locked(self):
+        if self.files:
+            with self._lock_file():
+                m = self.entries()
+                yield m
+                tmp = f"{self._manifest}.{uuid.uuid4().hex}"
+                self.files.write(tmp, json.dumps(m, indent=1).encode())
+                self.files.replace(tmp, self._manifest)
+            return
         with open(os.path.join(self.path, ".lock"), "w") as lock:
             fcntl.flock(lock, fcntl.LOCK_EX)
             m = self.entries()
@@ -72,17 +94,43 @@ class Store:
                 os.fsync(f.fileno())
             os.replace(tmp, self._manifest)
 
+    @contextmanager
+    def _lock_file(self):
+        """The lock where there is no flock: a file that only one can create."""
+        lock, end = f"{self.path}/.lock", time.time() + LOCK_S
+        while True:
+            try:
+                self.files.write(lock, b"", new=True)
+                break
+            except Exception as e:
+                if not self.files.exists(lock):
+                    raise
+                if time.time() > end:
+                    raise EngineError("STORE_LOCKED", f"{lock} has been there for {LOCK_S} s; delete it if its owner is gone") from e
+                time.sleep(0.05)
+        try:
+            yield
+        finally:
+            self.files.delete(lock)
+
+    def _remove(self, part: str) -> None:
+        p = os.path.join(self.path, part)
+        if self.files:
+            self.files.delete(p)
+        else:
+            shutil.rmtree(p, ignore_errors=True)
+
     def put(self, name: str, df: DataFrame, pinned: bool, spec: dict | None = None, ttl: str | float | None = None) -> dict:
         """Write a snapshot and make it the entry; the one before it is removed. Cached tables are stored whole, never as one query's part of them."""
         check_name(name)
         part = f"{name}-{uuid.uuid4().hex}"
-        df.write.parquet("file://" + os.path.abspath(os.path.join(self.path, part)))
+        df.write.parquet(f"{self.uri}/{part}")
         entry = {"path": part, "pinned": pinned, "spec": spec or {}, "written": time.time(), "ttl": seconds(ttl) if ttl is not None else None, "schema": df.schema.json()}
         with self._locked() as m:
             old = m.get(name)
             m[name] = entry
         if old:
-            shutil.rmtree(os.path.join(self.path, old["path"]), ignore_errors=True)
+            self._remove(old["path"])
         return entry
 
     def fresh(self, name: str) -> bool:
@@ -90,7 +138,7 @@ class Store:
         return bool(e) and self._whole(e) and (e["pinned"] or e["ttl"] is None or time.time() - e["written"] < e["ttl"])
 
     def _whole(self, e: dict) -> bool:
-        return os.path.exists(os.path.join(self.path, e["path"], "_SUCCESS"))
+        return (self.files or os.path).exists(os.path.join(self.path, e["path"], "_SUCCESS"))
 
     def get(self, name: str) -> DataFrame:
         """The snapshot, expired or not."""
@@ -102,7 +150,7 @@ class Store:
         if not self._whole(e):
             self.quarantine(name)
             raise EngineError("UNKNOWN_MATERIALIZED", f"the snapshot {name!r} is damaged and was set aside")
-        return self.spark.read.schema(StructType.fromJson(json.loads(e["schema"]))).parquet("file://" + os.path.abspath(os.path.join(self.path, e["path"])))
+        return self.spark.read.schema(StructType.fromJson(json.loads(e["schema"]))).parquet(f"{self.uri}/{e['path']}")
 
     def cached(self, name: str, make: Callable[[], DataFrame], ttl: str | float | None) -> DataFrame:
         """A fresh snapshot, or the table fetched now and stored."""
@@ -115,7 +163,7 @@ class Store:
             e = m.pop(name, None)
         if not e:
             raise EngineError("UNKNOWN_MATERIALIZED", f"nothing stored as {name!r}")
-        shutil.rmtree(os.path.join(self.path, e["path"]), ignore_errors=True)
+        self._remove(e["path"])
 
     def invalidate(self, prefix: str = "") -> list[str]:
         """Forget cached entries; pinned ones stay."""
@@ -127,8 +175,8 @@ class Store:
     def quarantine(self, name: str) -> None:
         with self._locked() as m:
             e = m.pop(name, None)
-        if e and os.path.exists(p := os.path.join(self.path, e["path"])):
-            os.replace(p, f"{p}.bad")
+        if e and (self.files or os.path).exists(p := os.path.join(self.path, e["path"])):
+            (self.files or os).replace(p, f"{p}.bad")
 
     def vacuum(self) -> list[str]:
         """Remove expired entries and directories that no entry names."""
@@ -137,17 +185,25 @@ class Store:
             for n in [n for n, e in m.items() if not e["pinned"] and e["ttl"] is not None and now - e["written"] >= e["ttl"]]:
                 gone.append(m.pop(n)["path"])
             kept = {e["path"] for e in m.values()}
-        for d in os.listdir(self.path):
-            if os.path.isdir(os.path.join(self.path, d)) and d not in kept:
+        for d in self.files.folders(self.path) if self.files else os.listdir(self.path):
+            if (self.files or os.path.isdir(os.path.join(self.path, d))) and d not in kept:
                 gone.append(d)
         for d in gone:
-            shutil.rmtree(os.path.join(self.path, d), ignore_errors=True)
+            self._remove(d)
         return sorted(set(gone))
 
 
-def namespaces(root: str) -> list[str]:
+def namespaces(root: str, spark: SparkSession | None = None) -> list[str]:
+    own = local(root)
+    if own is None:
+        return Files(spark, root).folders(root)
+    root = own
     return sorted(d for d in os.listdir(root) if os.path.isdir(os.path.join(root, d))) if os.path.isdir(root) else []
 
 
-def drop_namespace(root: str, namespace: str) -> None:
-    shutil.rmtree(os.path.join(root, check_name(namespace)), ignore_errors=True)
+def drop_namespace(root: str, namespace: str, spark: SparkSession | None = None) -> None:
+    own = local(root)
+    if own is None:
+        Files(spark, root).delete(f"{root}/{check_name(namespace)}")
+    else:
+        shutil.rmtree(os.path.join(own, check_name(namespace)), ignore_errors=True)
