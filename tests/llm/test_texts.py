@@ -95,6 +95,7 @@ def test_pii(text, want):
     ("lives at 12 Oak Street since", [("address", "12 Oak Street")]),
     ("in der Hauptstraße 12, au 12 rue de la Paix", [("address", "Hauptstraße 12"), ("address", "12 rue de la Paix")]),
     ("after 5 tries on the way", []),
+    ("Passport CFGHJK123 was shown", [("id_number", "CFGHJK123")]),
 ])
 def test_pii_outside_the_lists(text, want):
     assert [(k, text[a:b]) for a, b, k in pii.find(text, pii.Names())] == want

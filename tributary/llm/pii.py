@@ -337,7 +337,7 @@ _STREETS = set(
 )
 _STREET_ENDS = ("straße", "strasse", "str", "gasse", "weg", "allee", "platz", "ufer", "ring", "damm")
 #: Runs with as many digits as any number that is looked for.
-_RUN = re.compile(r"\d[\d ()./-]{5,}\d|[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d|[A-Z0-9]*\d[A-Z0-9]{6,}|\d{7,}")
+_RUN = re.compile(r"\d[\d ()./-]{5,}\d|[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d|[A-Z0-9]*\d[A-Z0-9]{6,}|\d{7,}|(?<![A-Z0-9])(?=[A-Z]*\d[A-Z]*\d)[A-Z0-9]{9,10}(?![A-Z0-9])")
 
 
 def _windows(hits: list[tuple[int, int]], around: int, length: int) -> Iterator[tuple[int, int]]:
