@@ -95,6 +95,8 @@ def test_pii(text, want):
     ("lives at 12 Oak Street since", [("address", "12 Oak Street")]),
     ("in der Hauptstraße 12, au 12 rue de la Paix", [("address", "Hauptstraße 12"), ("address", "12 rue de la Paix")]),
     ("after 5 tries on the way", []),
+    ("note: +44 20 7946 0114, got 020 7946 0958", [("phone", "+44 20 7946 0114"), ("phone", "020 7946 0958")]),
+    ("rows 3645550149 page: 3645550149 Parcel +44 20 7946 0114 Order 020 7946 0958", []),
     ("Passport CFGHJK123 was shown", [("id_number", "CFGHJK123")]),
 ])
 def test_pii_outside_the_lists(text, want):

@@ -74,9 +74,18 @@ _PHONE = regex.compile(
 )
 #: Words before a number that say it is no phone number and no personal number, and keys of other things.
 _THING = regex.compile(
-    r"(?i)(?:\b(?:parcel|batch|serial|build|invoice|order|credit note|version|since|range|checksum|sendung|charge|rechnung|seriennummer|bestellung|auftrag|envío|paquete|lote|factura|"
-    r"pedido|serie|colis|lot|facture|commande|série|refund of|expected|got|rows?|ms|ticket|note|page|item|sku)[ :#=]*(?:n\.?º|no\.?|nr\.?)?[ :#=]*|\b(?:id|rows|ms|order|batch|build|sha|hash)\"?[=:] ?)$"
+    r"(?i)(?:\b(?:parcel|batch|serial|build|invoice|order|credit note|checksum|sendung|charge|rechnung|seriennummer|bestellung|auftrag|envío|paquete|lote|factura|"
+    r"pedido|serie|colis|lot|facture|commande|série|refund of|sku)[ :#=]*(?:n\.?[ºo]|no\.?|nr\.?)?[ :#=]*|\b(?:id|order|batch|build|sha|hash)\"?[=:] ?)$"
 )
+#: Words before a bare run of digits that say the same; a number grouped or written with a prefix, brackets or letters is kept behind them.
+_COUNT = regex.compile(r"(?i)(?:\b(?:version|since|range|expected|got|rows?|ms|ticket|note|page|item)[ :#=]*(?:n\.?[ºo]|no\.?|nr\.?)?[ :#=]*|\b(?:rows|ms)\"?[=:] ?)$")
+
+
+def _of_thing(t: str, a: int, b: int) -> bool:
+    """Whether what stands before the number at ``a`` says that it is no person's."""
+    return bool(_THING.search(t, max(0, a - 40), a) or t[a:b].isdigit() and _COUNT.search(t, max(0, a - 40), a))
+
+
 _LABEL = (
     r"(?i:ssn|social security(?: number| no\.?)?|passport(?: number| no\.?)?|tax id|national insurance(?: number)?|id on file|id no\.?|doc(?:_no|ument)?|steuer-?id|ausweis(?:nummer|-nr\.?)?|personalausweis|"
     r"reisepass|dni|nie|nif|pasaporte|documento|nir|pièce|passeport|numéro de sécu(?:rité sociale)?|carte d'identité)"
@@ -394,13 +403,13 @@ def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
         add(*m.span("v"), "id_number")
     for m in (m for w in runs for m in _PHONE.finditer(t, *w)):
         v = m[0]
-        if len(v) == 9 and v.isdigit() and v[:3] in ("000", "666") or _THING.search(t, max(0, m.start() - 40), m.start()):
+        if len(v) == 9 and v.isdigit() and v[:3] in ("000", "666") or _of_thing(t, *m.span()):
             continue
         if _LIKE_ID.fullmatch(v):
             continue
         add(*m.span(), "phone")
     for m in (m for w in runs for m in _TYPED.finditer(t, *w)):
-        if not _THING.search(t, max(0, m.start() - 40), m.start()):
+        if not _of_thing(t, *m.span()):
             add(*m.span(), "id_number")
     for m in (m for w in _windows(streets, 110, n) for m in _OPEN_ADDRESSES.finditer(t, *w)):
         add(*m.span(), "address")
