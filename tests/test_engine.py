@@ -148,6 +148,18 @@ def test_store(spark, tmp_path):
     assert s.entries() == {}
 
 
+def test_attached_catalog(spark, tmp_path):
+    import duckdb
+
+    from tributary.sources.database import duckdb_tables
+
+    con = duckdb.connect(f"{tmp_path}/a.duckdb")
+    con.execute("CREATE TABLE t AS SELECT 1 AS x")
+    con.close()
+    got = duckdb_tables(spark, {"attach": f"{tmp_path}/a.duckdb"})
+    assert sorted(got) == ["t"] and [r.x for r in got["t"].collect()] == [1]
+
+
 def test_snapshots_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
     from tributary import storage
     from tributary.queries import sources

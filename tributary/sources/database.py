@@ -84,12 +84,12 @@ def duckdb_tables(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
         if config.get("attach"):
             try:
                 con.execute(f"ATTACH '{config['attach']}' AS src (READ_ONLY)")
-                con.execute("USING src")
+                con.execute("USE src")
             except Exception as e:
                 raise EngineError("UNSUPPORTED", f"this DuckDB can't attach {config['attach']!r}: {e}") from e
         wanted = {t["name"]: t.get("query") or f'SELECT * FROM "{t["name"]}"' for t in config.get("tables", [])}
         if not wanted:
-            wanted = {n: f'SELECT * FROM "{s}"."{n}"' for s, n in con.execute("SELECT table_schema, table_name FROM information_schema.tables WHERE table_schema NOT IN ('information_schema', 'pg_catalog') ORDER BY 1, 2").fetchall()}
+            wanted = {n: f'SELECT * FROM "{s}"."{n}"' for s, n in con.execute("SELECT table_schema, table_name FROM information_schema.tables WHERE table_catalog = current_database() AND table_schema NOT IN ('information_schema', 'pg_catalog') ORDER BY 1, 2").fetchall()}
         out = {}
         for n, q in wanted.items():
             path, cur = new_path(spark, n), con.execute(q)
