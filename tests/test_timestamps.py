@@ -3,7 +3,11 @@ import random
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tributary.operators import timestamps as ts
 
@@ -105,3 +109,36 @@ def test_nulls_and_empty(spark):
     got = _normal(spark, [("a", "f", None, "2024-01-02", "UTC", "dmy"), ("a", "f", 1, None, "UTC", "dmy"), (None, None, 2, "2024-01-03", None, None), ("a", "f", 3, "??", "UTC", None)])
     assert got == {("a", None): us("2024-01-02"), (None, 2): us("2024-01-03")}
     assert _normal(spark, []) == {}
+
+
+PIECES = ["2024-03-31", "31/03/2024", "3/4/2024", "03.04.2024", "20240331", "1711846800", "1711846800123.5", "31 Mar 2024", "Mar 31st, 2024", "Sun, 31 Mar 2024", "2024/10/27", "9999-99-99", "0000-01-01", "29/02/2023", "13/13/2024"]
+CLOCKS = ["", " 02:30", "T02:30:15", " 2:30 pm", " 02:30:15.1234567", "T023015", " 25:00", " 12:00am", "T02:30:15,5", "  at 02:30"]
+PLACES = ["", "Z", " UTC", "+02:00", "-0530", " +01", " CEST", "[Europe/Berlin]", " America/New_York", " xyz", "+19:00", " bst", "+02:00[Europe/Berlin]", "+02:00 nowhere"]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.tuples(st.sampled_from(PIECES), st.sampled_from(CLOCKS), st.sampled_from(PLACES), st.sampled_from(["Europe/Berlin", "UTC", "Asia/Kolkata", "nowhere", None]), st.sampled_from(["dmy", "mdy", "ymd", None])), min_size=1, max_size=40))
+def test_columns_read_like_single_values(rows):
+    values = [a + b + c for a, b, c, _, _ in rows] + [None, "", "  ", "é", " 2024-01-02\t03:04 ", "٢٠٢٤-01-02"]
+    zones, orders = [r[3] for r in rows] + ["UTC"] * 6, [r[4] for r in rows] + ["dmy"] * 6
+    ends, (t, f, c) = ts._read(*(pa.array(x, pa.string()) for x in (values, zones, orders))).lists()
+    got = [list(zip(t[a:b].tolist(), f[a:b].tolist(), c[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
+    assert got == [ts.interpretations(*x) for x in zip(values, zones, orders)]
+
+
+def test_repeated_row_ids_have_no_place(spark, monkeypatch):
+    monkeypatch.setattr(ts, "BITS", 2)
+    rows = [("s", "f", 1, "01/02/2024")] * 9 + [("s", "f", k, "25/02/2024") for k in range(4, 8)] + [("s", "f", None, "2024-02-01")]
+    df = spark.createDataFrame(rows, "src string, feed string, row_id bigint, v string")
+    c = ts.candidates(df, "v", F.lit("UTC"), F.lit(None).cast("string"), F.col("src"), F.col("feed"), F.col("row_id"))
+    got = ts.normalise(c).collect()
+    assert len(got) == 14 and len({r.utc_us for r in got if r.row_id == 1}) == 1
+    assert ts.normalise(c.limit(0)).count() == 0
+
+
+def test_neighbours_decide_without_a_declaration(spark):
+    rows = [("s", "f", k, f"{d:02d}/03/2024 10:00") for k, d in enumerate([14, 15, 3, 16, 4, 17])] + [("s", "g", k, f"03/{d:02d}/2024 10:00") for k, d in enumerate([14, 15, 3, 16])]
+    df = spark.createDataFrame(rows, "src string, feed string, row_id bigint, v string")
+    c = ts.candidates(df, "v", F.lit("UTC"), F.lit(None).cast("string"), F.col("src"), F.col("feed"), F.col("row_id"))
+    got = ts.normalise(c).withColumn("at", F.timestamp_micros("utc_us")).filter("month(at) = 3").count()
+    assert got == len(rows)

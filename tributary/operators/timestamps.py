@@ -15,10 +15,10 @@ from zoneinfo import ZoneInfo
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.operators.spread import spread
 from tributary.storage import written
 
 #: Record ids per block and per step of the hierarchy, as a power of two.
@@ -88,12 +88,12 @@ def _day(y: int, m: int, d: int) -> int | None:
     return _days[k]
 
 
-_steady: dict[tuple[int, int], int | None] = {}
+_steady: dict[tuple[str, int], int | None] = {}
 
 
-def _local(day: int, us: int, tz: ZoneInfo) -> list[tuple[int, float]]:
-    """Instants of a local time: first the earlier of two, or the time moved on over a gap; a second one costs FOLD_COST."""
-    k = (id(tz), day)
+def _steady_offset(day: int, tz: ZoneInfo) -> int | None:
+    """Microseconds that the zone is ahead of UTC around a day on which its clocks don't change, else None."""
+    k = (tz.key, day)
     if k not in _steady:
         if len(_steady) > 200_000:
             _steady.clear()
@@ -104,7 +104,12 @@ def _local(day: int, us: int, tz: ZoneInfo) -> list[tuple[int, float]]:
                 _steady[k] = int(ends[0].total_seconds() * 1_000_000)
         except OverflowError:
             pass
-    if (o := _steady[k]) is not None:
+    return _steady[k]
+
+
+def _local(day: int, us: int, tz: ZoneInfo) -> list[tuple[int, float]]:
+    """Instants of a local time: first the earlier of two, or the time moved on over a gap; a second one costs FOLD_COST."""
+    if (o := _steady_offset(day, tz)) is not None:
         return [(day * _DAY_US + us - o, 0.0)]
     at = _EPOCH + timedelta(days=day, microseconds=us)
     try:
@@ -232,27 +237,264 @@ def interpretations(value: str | None, feed_zone: str | None = None, order: str
 
 
 _LISTS = [("t", pa.list_(pa.int64())), ("f", pa.list_(pa.int32())), ("c", pa.list_(pa.float32()))]
+_SPACES = r"[\t\n\x0b\x0c\r\x1c-\x1f]|  "
+
+
+#: Places in a value: year, month, day, the two numbers before a trailing year, eight digits of a date, hour, minute, second, fraction, hours and minutes of an offset, digits alone.
+_PLACES = ("y", "m", "d", "a", "b", "c", "h", "mi", "s", "f", "oh", "om", "n")
+_ISO_LIKE, _TRAIL, _NUMBER = 1, 2, 3
+
+
+def _shape(signature: str) -> list[int] | None:
+    """How all values with one signature are read, a signature being the value with every digit as 9: the patterns tell digits apart by place only, so the
+    places of year, month and so on are the same in all of them. Gives (form, spelling, point, half, month, signs, fixed, minutes east, zone, then start and
+    width of each of _PLACES), or None for what isn't readable."""
+    at: dict[str, tuple[int, int] | None] = {}
+    form, kind, point, half, month, sign, fixed, east, tz = _ISO_LIKE, 1, 0, 0, 0, 0, 0, 0, -1
+    if m := _DIGITS.fullmatch(signature):
+        if m.end(1) > 18:
+            return None
+        form, at = _NUMBER, {"n": m.span(1), "f": m.span(2) if m[2] else None}
+    elif m := _VALUE.fullmatch(signature):
+        g = m.groupdict()
+        at = {p: next((m.span(n) for n in names if g[n] is not None), None) for p, names in
+              {"y": ("Y", "Y2", "Y3", "Y4"), "m": ("M",), "d": ("D", "d3", "d4"), "a": ("a",), "b": ("b",), "c": ("c",), "h": ("h", "hc"), "mi": ("mi", "mc"), "s": ("s", "sc"), "f": ("f", "fc")}.items()}
+        kind = {"-": 1, "/": 2, ".": 3}[g["sep"]] if g["Y"] else 9 if g["c"] else 7 if g["mon3"] else 8
+        form, point, half = _TRAIL if g["a"] else _ISO_LIKE, int(g["sep2"] == "."), {None: 0, "a": 1, "p": 2}[g["ap"]]
+        if name := g["mon3"] or g["mon4"]:
+            if name not in _FULL:
+                return None
+            month = MONTHS[name[:3]]
+        if g["zone"]:
+            place = g["zone"].strip("[]()")
+            minutes, own = ABBREVIATIONS.get(place.upper()), zone(place)
+            if minutes is None and own is None:
+                return None
+            fixed, east = int(minutes is not None), minutes or 0
+            if minutes is None and not g["off"]:
+                tz = _zone_number(own.key)
+        if g["off"]:
+            a, b = m.span("off")
+            sign, fixed, at["oh"], at["om"] = -1 if g["off"][0] == "-" else 1, 1, (a + 1, a + 3), (b - 2, b) if b - a > 3 else None
+    else:
+        return None
+    spans = [at.get(p) or (0, 0) for p in _PLACES]
+    return [form, kind, point, half, month, sign, fixed, east, tz, *(x for a, b in spans for x in (a, b - a))]
+
+
+_shapes: dict[str, list[int] | None] = {}
+_numbers: dict[str, int] = {}
+_years: dict[tuple[int, int], np.ndarray] = {}
+_UNSTEADY = np.iinfo(np.int64).min
+
+
+def _zone_number(name: str | None) -> int:
+    """A number for the zone of that name, UTC where there is none."""
+    key = (zone(name) or zone("UTC")).key
+    return _numbers.setdefault(key, len(_numbers))
+
+
+def _shapes_of(signatures: list[str]) -> np.ndarray:
+    if len(_shapes) > 50_000:
+        _shapes.clear()
+    out = []
+    for x in signatures:
+        if x not in _shapes:
+            _shapes[x] = _shape(x) if x.isascii() else None
+        out.append(_shapes[x] or [0] * (9 + 2 * len(_PLACES)))
+    return np.array(out, np.int64).reshape(-1, 9 + 2 * len(_PLACES))
+
+
+def _days_of(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Days since 1970, and whether the date exists."""
+    ok = (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1)
+    month = ((np.where(ok, y, 1970) - 1970) * 12 + np.where(ok, m, 1) - 1).astype("datetime64[M]")
+    first, following = month.astype("datetime64[D]").astype(np.int64), (month + 1).astype("datetime64[D]").astype(np.int64)
+    return first + d - 1, ok & (first + d - 1 < following)
+
+
+def _year_offsets(number: int, year: int) -> np.ndarray:
+    """Microseconds ahead of UTC for each day of a year, _UNSTEADY for days around a change of the clocks."""
+    if (number, year) not in _years:
+        tz = ZoneInfo(next(k for k, n in _numbers.items() if n == number))
+        try:
+            first, following = (date(y, 1, 1).toordinal() - _EPOCH_ORD for y in (year, year + 1))
+            o = np.array([int(tz.utcoffset(_EPOCH + timedelta(days=x)).total_seconds() * 1_000_000) for x in range(first - 1, following + 2)])
+            _years[number, year] = np.where((o[:-3] == o[1:-2]) & (o[:-3] == o[2:-1]) & (o[:-3] == o[3:]), o[:-3], _UNSTEADY)
+        except (OverflowError, ValueError):
+            _years[number, year] = np.full(366, _UNSTEADY)
+    return _years[number, year]
+
+
+def _ahead(day: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Microseconds ahead of UTC of each (day, zone), _UNSTEADY where the clock decides."""
+    year = day.astype("datetime64[D]").astype("datetime64[Y]").astype(np.int64) + 1970
+    key, back = np.unique(number * 20_000 + year, return_inverse=True)
+    out = np.empty(len(day), np.int64)
+    by = np.argsort(back, kind="stable")
+    edges = np.searchsorted(back[by], np.arange(len(key) + 1))
+    for k, x in enumerate(key.tolist()):
+        rows = by[edges[k] : edges[k + 1]]
+        first = date(x % 20_000, 1, 1).toordinal() - _EPOCH_ORD
+        out[rows] = _year_offsets(x // 20_000, x % 20_000)[day[rows] - first]
+    return out
+
+
+class _Readings:
+    """Readings of one batch as they are found: row, place in the row's list, instant, spelling, cost."""
+
+    def __init__(self, rows: int):
+        self.rows, self.parts = rows, []
+
+    def add(self, row, place, t, kind, cost) -> None:
+        self.parts.append((row, *(np.broadcast_to(np.asarray(x, d), len(row)) for x, d in ((place, np.int64), (t, np.int64), (kind, np.int32), (cost, np.float32)))))
+
+    def local(self, row, place, day, us, number, kind, cost) -> None:
+        """Instants of local times in the zones of those numbers; only days with a change of the clocks are looked at one by one."""
+        place, kind, cost = (np.broadcast_to(x, len(row)) for x in (place, kind, cost))
+        ahead = _ahead(day, number)
+        calm = ahead != _UNSTEADY
+        self.add(row[calm], place[calm], (day * _DAY_US + us)[calm] - ahead[calm], kind[calm], cost[calm])
+        names = {n: k for k, n in _numbers.items()}
+        single = [(row[k], place[k] + j, t, kind[k], cost[k] + c) for k in np.nonzero(~calm)[0].tolist() for j, (t, c) in enumerate(_local(int(day[k]), int(us[k]), zone(names[int(number[k])])))]
+        if single:
+            self.add(*(np.array(x) for x in zip(*single)))
+
+    def lists(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Offsets of the rows and the flat columns t, f and c."""
+        if not self.parts:
+            return np.zeros(self.rows + 1, np.int32), [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)]
+        row, place, *flat = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((place, row))
+        return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=self.rows))]).astype(np.int32), [x[order] for x in flat]
+
+
+def _coded(a: pa.Array) -> tuple[np.ndarray, list]:
+    """Each row's place in a list of the distinct values, null last."""
+    d = a.dictionary_encode()
+    values = d.dictionary.to_pylist()
+    return pc.fill_null(d.indices, len(values)).to_numpy(zero_copy_only=False).astype(np.int64), [*values, None]
+
+
+def _read(values: pa.Array, zones: pa.Array, orders: pa.Array) -> _Readings:
+    """Readings of a batch of values, the same as ``interpretations`` gives one by one; patterns run once per signature, all else in whole columns."""
+    out = _Readings(len(values))
+    plain = pc.fill_null(pc.string_is_ascii(values), True)
+    for k in np.nonzero(~plain.to_numpy(zero_copy_only=False))[0]:
+        for j, (t, kind, cost) in enumerate(interpretations(values[k].as_py(), zones[k].as_py(), orders[k].as_py())):
+            out.add(np.array([k]), j, t, kind, cost)
+    v = pc.ascii_lower(values)
+    if pc.any(pc.match_substring_regex(v, _SPACES)).as_py():
+        v = pc.replace_substring_regex(v, r"[\t\n\x0b\x0c\r\x1c-\x1f ]+", " ")
+    v = pc.fill_null(pc.ascii_trim(v, " "), "")
+    if not len(v) or not v.buffers()[2]:
+        return out
+    offsets = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1].astype(np.int64)
+    data = np.frombuffer(v.buffers()[2], np.uint8)
+    nine = pa.py_buffer(np.where((data >= 48) & (data <= 57), np.uint8(57), data).tobytes())
+    coded = pa.StringArray.from_buffers(len(v), v.buffers()[1], nine, None, 0, v.offset).dictionary_encode()
+    table = _shapes_of(coded.dictionary.to_pylist())
+    shape = table[coded.indices.to_numpy()]
+    row = np.nonzero(shape[:, 0])[0]
+    if not len(row):
+        return out
+    shape, start = shape[row], offsets[:-1][row]
+    data = np.concatenate([data, np.full(20, 48, np.uint8)])
+
+    def num(place: str, most: int = 18) -> np.ndarray:
+        k = 9 + 2 * _PLACES.index(place)
+        at, width = start + shape[:, k], np.minimum(shape[:, k + 1], most)
+        n = np.zeros(len(row), np.int64)
+        for j in range(int(width.max())):
+            n = np.where(j < width, n * 10 + (data[at + j] - 48), n)
+        return n
+
+    width_f = shape[:, 9 + 2 * _PLACES.index("f") + 1]
+    frac = num("f", 6) * np.power(10, 6 - np.minimum(width_f, 6))
+    form, half, sign = shape[:, 0], shape[:, 3], shape[:, 5]
+    zone_of, zone_names = _coded(zones)
+    own_zone = np.array([_zone_number(x) for x in zone_names])[zone_of[row]]
+    n, width_n = num("n"), shape[:, 9 + 2 * _PLACES.index("n") + 1]
+    digits = form == _NUMBER
+    for kind, per in ((20, 1), (21, 1_000), (22, 1_000_000)):
+        ok = digits & (n // per >= _DECADE[0]) & (n // per < _DECADE[1])
+        out.add(row[ok], kind - 20, (n * (1_000_000 // per) + np.where(width_f > 0, frac // per, 0))[ok], kind, 0.0)
+    dated = digits & (width_f == 0) & np.isin(width_n, (8, 12, 14))
+    full = np.where(dated, n * np.power(10, np.maximum(14 - width_n, 0)), 0)
+    c = num("c")
+    compact = c > 0
+    y, m, d = (np.where(dated, full // 10**p % q, np.where(compact, c // 10 ** (p - 6) % q, num(x))) for x, p, q in (("y", 10, 10_000), ("m", 8, 100), ("d", 6, 100)))
+    m = np.where(shape[:, 4] > 0, shape[:, 4], m)
+    h, mi, sec = (np.where(dated, full // 10**p % 100, num(x)) for x, p in (("h", 4), ("mi", 2), ("s", 0)))
+    good = ~digits | dated
+    good &= (half == 0) | ((h >= 1) & (h <= 12))
+    h = np.where(half > 0, h % 12 + 12 * (half == 2), h)
+    oh, om = num("oh"), num("om")
+    good &= (h < 24) & (mi < 60) & (sec < 60) & (oh * 60 + om <= 1080) & (om < 60)
+    us = ((h * 60 + mi) * 60 + sec) * 1_000_000 + np.where(dated, 0, frac)
+    east = np.where(sign != 0, (oh * 60 + om) * sign, shape[:, 7])
+    fixed = shape[:, 6] > 0
+    number = np.where(shape[:, 8] >= 0, shape[:, 8], own_zone)
+
+    def place(day, ok, at, kind, cost) -> None:
+        a, b = ok & fixed, ok & ~fixed
+        at, kind, cost = (np.broadcast_to(x, len(row)) for x in (at, kind, cost))
+        out.add(row[a], at[a], day[a] * _DAY_US + us[a] - east[a] * 60_000_000, kind[a], cost[a])
+        if b.any():
+            out.local(row[b], at[b], day[b], us[b], number[b], kind[b], cost[b])
+
+    day, real = _days_of(y, m, d)
+    place(day, good & real & (form != _TRAIL), np.where(dated, 3, 0), np.where(dated, 23, shape[:, 1]), 0.0)
+    trail = good & (form == _TRAIL)
+    if trail.any():
+        a, b = num("a"), num("b")
+        order_of, order_names = _coded(orders)
+        declared = np.array([{"dmy": 1, "mdy": 2}.get(x, 0) for x in order_names])[order_of[row]]
+        point = shape[:, 2] > 0
+        swap = (declared == 2) & ~point
+        one, one_real = _days_of(y, np.where(swap, a, b), np.where(swap, b, a))
+        two, two_real = _days_of(y, np.where(swap, b, a), np.where(swap, a, b))
+        kinds = np.where(point, 4, np.where(swap, 6, 5))
+        place(one, trail & one_real, 0, kinds, 0.0)
+        other = trail & ~point & two_real & ~(one_real & (one == two)) & (one_real | (declared == 0))
+        place(two, other, 2, 11 - kinds, np.where(declared > 0, RULE_COST, 0.0))
+    return out
+
+
+def _whole(b: pa.RecordBatch) -> tuple[dict, _Readings]:
+    cols = {n: b.column(n) for n in b.schema.names}
+    v, z, o = (cols.pop(n) for n in ("__v", "__z", "__o"))
+    return cols, _read(v.cast(pa.string()), z.cast(pa.string()), o.cast(pa.string()))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols = {n: b.column(n) for n in b.schema.names}
-        t, f, c = [], [], []
-        for v, z, o in zip(cols.pop("__v").to_pylist(), cols.pop("__z").to_pylist(), cols.pop("__o").to_pylist()):
-            r = interpretations(v, z, o)
-            t.append([x[0] for x in r])
-            f.append([x[1] for x in r])
-            c.append([x[2] for x in r])
-        yield pa.RecordBatch.from_arrays([*cols.values(), *(pa.array(x, k) for x, (_, k) in zip((t, f, c), _LISTS))], names=[*cols, "t", "f", "c"])
+        cols, found = _whole(b)
+        ends, flat = found.lists()
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, k.value_type)) for x, (_, k) in zip(flat, _LISTS)]
+        yield pa.RecordBatch.from_arrays([*cols.values(), *lists], names=[*cols, "t", "f", "c"])
 
 
-def candidates(df: DataFrame, value: str | Column, feed_zone: str | Column, order: str | Column, *keep: Column) -> DataFrame:
-    """``keep`` columns with arrays t (instants), f (spellings) and c (costs) of each value's readings."""
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cols, found = _whole(b)
+        ends, flat = found.lists()
+        none = np.diff(ends) == 0
+        first = pa.array(np.append(flat[0], 0)[np.where(none, len(flat[0]), ends[:-1])], pa.int64(), mask=none)
+        yield pa.RecordBatch.from_arrays([*cols.values(), first], names=[*cols, "utc_us"])
+
+
+def _parsed(df: DataFrame, value: str | Column, feed_zone: str | Column, order: str | Column, keep: tuple[Column, ...], run, added: str) -> DataFrame:
     as_col = lambda x: F.col(x) if isinstance(x, str) else x
     kept = df.select(*keep)
     src = df.select(*keep, as_col(value).cast("string").alias("__v"), as_col(feed_zone).alias("__z"), F.lower(as_col(order)).alias("__o"))
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields)
-    return spread(src).mapInArrow(_batches, f"{fields}, t array<bigint>, f array<int>, c array<float>")
+    return src.mapInArrow(run, f"{fields}, {added}")
+
+
+def candidates(df: DataFrame, value: str | Column, feed_zone: str | Column, order: str | Column, *keep: Column) -> DataFrame:
+    """``keep`` columns with arrays t (instants), f (spellings) and c (costs) of each value's readings."""
+    return _parsed(df, value, feed_zone, order, keep, _batches, "t array<bigint>, f array<int>, c array<float>")
 
 
 def with_feeds(df: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -264,8 +506,7 @@ def with_feeds(df: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def declared_instant(df: DataFrame, feeds: DataFrame, value: str, *keep: Column) -> DataFrame:
     """``keep`` columns and utc_us, the reading that the feed's declaration gives (null when unreadable), without a look at the neighbours."""
-    c = candidates(with_feeds(df, feeds), value, "feed_zone", "feed_order", *keep)
-    return c.select(*[x for x in c.columns if x not in ("t", "f", "c")], F.get("t", F.lit(0)).alias("utc_us"))
+    return _parsed(with_feeds(df, feeds), value, "feed_zone", "feed_order", keep, _firsts, "utc_us bigint")
 
 
 # --- min-plus Viterbi ----------------------------------------------------------------------------------------------------------------------------------
@@ -400,24 +641,47 @@ def _down_leaf(t: pa.Table, state: pa.Table) -> pa.Table:
     t = t.sort_by("row_id")
     x = _leaves(t)
     en, _ = _descend(_levels(x), state["en"][0].as_py(), state["ex"][0].as_py())
-    return pa.table({"src": t["src"], "row_id": t["row_id"], "utc_us": pa.array(x.et[np.arange(len(en)), en], pa.int64())})
+    several = np.isfinite(x.m[:, np.arange(x.m.shape[1]), np.arange(x.m.shape[1])]).sum(1) > 1
+    return pa.table({"src": t["src"], "row_id": t["row_id"], "utc_us": pa.array(x.et[np.arange(len(en)), en], pa.int64())}).filter(pa.array(several))
+
+
+def _without_repeats(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose row_id is theirs alone, and the others, which have no place in the record order. Only blocks with more rows than ids can have many of them."""
+    crowded = c.groupBy("src", "feed", F.shiftright("row_id", BITS).alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2**BITS).select("src", "feed", "b")
+    inside = c.withColumn("b", F.shiftright("row_id", BITS)).join(crowded, ["src", "feed", "b"], "left_semi")
+    again = inside.groupBy("src", "feed", "row_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("src", "feed", "row_id")
+    again = written(again, "repeats")
+    on = ["src", "feed", "row_id"]
+    return c.join(again, on, "left_anti"), c.join(again, on, "left_semi")
 
 
 def normalise(readings: DataFrame) -> DataFrame:
     """(src, row_id, utc_us): one instant per readable row of ``readings`` (src, feed, row_id, t, f, c), chosen over each feed's row_id order.
 
-    Rows without a reading give no row. A null feed is a source of its own. Rows whose row_id is null have no neighbours and get their cheapest, then
-    first reading. Rows that repeat a row_id are all kept. Ties go to the reading listed first, so to the declared one. An empty table gives an empty one.
+    A row with one reading has nothing to choose, so only rows with several, and the rows around them, take part in the Viterbi pass: the cost of what lies
+    between two rows with one reading is the same for every choice elsewhere.
+    Rows without a reading give no row. A null feed is a source of its own. Rows whose row_id is null, or repeated in a block that holds more rows than ids,
+    have no place in the order and get their cheapest, then first reading. Other rows that repeat a row_id are all kept, in an order that isn't defined. Ties
+    go to the reading listed first, so to the declared one. An empty table gives an empty one.
     """
     c = written(readings.filter(F.size("t") > 0).select("src", F.coalesce("feed", F.lit("")).alias("feed"), "row_id", "t", "f", "c"), "readings")
-    lone = c.filter(F.col("row_id").isNull()).select("src", "row_id", F.get("t", F.array_position("c", F.array_min("c")).cast("int") - 1).alias("utc_us"))
-    c = c.filter(F.col("row_id").isNotNull())
-    low, high = c.agg(F.min("row_id"), F.max("row_id")).first()
-    low, high = low or 0, high or 0
+    cheapest = F.get("t", F.array_position("c", F.array_min("c")).cast("int") - 1).alias("utc_us")
+    out = c.filter((F.size("t") == 1) | F.col("row_id").isNull()).select("src", "row_id", cheapest)
+    placed = c.filter(F.col("row_id").isNotNull())
     block = lambda name, bits: F.shiftright(F.col(name), bits)
-    leaves = c.withColumn("b", block("row_id", BITS))
+    blocks = placed.groupBy("src", "feed", block("row_id", BITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    low, high, most = blocks.agg(F.min("b"), F.max("b"), F.max("n")).first()
+    if low is None:
+        return out
+    if most > 2**BITS:
+        placed, again = _without_repeats(placed)
+        out = out.unionByName(again.filter(F.size("t") > 1).select("src", "row_id", cheapest))
+    w = Window.partitionBy("src", "feed", "b").orderBy("row_id")
+    n = F.size("t")
+    near = placed.withColumn("b", block("row_id", BITS)).withColumns({"__n": n, "__p": F.lag(n).over(w), "__q": F.lead(n).over(w)})
+    leaves = written(near.filter("__n > 1 OR __p > 1 OR __q > 1 OR __p IS NULL OR __q IS NULL").drop("__n", "__p", "__q"), "leaves")
     steps = [leaves.groupBy("src", "feed", "b").applyInArrow(_up_leaf, _RUN)]
-    spread = (high >> BITS) - (low >> BITS)
+    spread = high - low
     while spread >> BITS:
         spread >>= BITS
         steps.append(steps[-1].withColumn("u", block("b", BITS)).groupBy("src", "feed", "u").applyInArrow(_up_run, _RUN))
@@ -426,5 +690,5 @@ def normalise(readings: DataFrame) -> DataFrame:
     for runs in reversed(steps[:-1]):
         keyed = runs.withColumn("u", block("b", BITS)).groupBy("src", "feed", "u")
         state = keyed.cogroup(state.withColumnRenamed("b", "u").groupBy("src", "feed", "u")).applyInArrow(_down_run, _STATE)
-    out = leaves.groupBy("src", "feed", "b").cogroup(state.groupBy("src", "feed", "b")).applyInArrow(_down_leaf, "src string, row_id bigint, utc_us bigint")
-    return out.unionByName(lone)
+    chosen = leaves.groupBy("src", "feed", "b").cogroup(state.groupBy("src", "feed", "b")).applyInArrow(_down_leaf, "src string, row_id bigint, utc_us bigint")
+    return out.unionByName(chosen)
