@@ -93,7 +93,7 @@ def test_rolling_against_brute_force_and_corrections(spark):
         for e, t, a in rs:
             if e is not None and t is not None:
                 d = days.setdefault(e, {}).setdefault(t // DAY, [0.0, 0])
-                d[0] += a if a is not None and math.isfinite(a) else 0
+                d[0] += a if a is not None and not math.isnan(a) else 0
                 d[1] += 1
         return {(e, d): tuple(round(sum(m.get(x, (0, 0))[k] for x in range(d - p + 1, d + 1)), 6) for p in (7, 30) for k in (0, 1)) for e, m in days.items() for d in range(min(m), max(m) + 1)}
 
@@ -109,3 +109,23 @@ def test_rolling_against_brute_force_and_corrections(spark):
     assert fixed.count() == 2
     assert got(tree.join(fixed, ["entity", "shard"], "left_anti").unionByName(fixed)) == brute(late)
     assert got(tree.limit(0)) == {}
+
+
+def test_rolling_keeps_text_entities_and_far_days(spark, monkeypatch):
+    monkeypatch.setattr(rolling, "_BLOCK", 8)
+    rows = [("a", -700_000 * DAY, 1.0), ("a", -699_000 * DAY, 2.0), ("b", 5 * DAY, 3.0), ("b", 6 * DAY, -math.inf), ("c", 5, None)]
+    out = rolling.trailing(rolling.trees(rolling.daily(spark.createDataFrame(rows, "entity string, at_us bigint, amount double")))).collect()
+    by = {(r.entity, r.day): r for r in out}
+    assert len(out) == 1001 + 2 + 1 and by["a", -699_000].total_30d == 2.0 and by["a", -699_971].total_30d == 1.0 and by["a", -699_970].total_30d == 0.0
+    assert by["b", 6].total_7d == -math.inf and by["b", 5].avg_7d == 3.0 / 7 and by["c", 0].n_7d == 1 and by["c", 0].total_7d == 0.0
+
+
+def test_feature_store_takes_named_months_only(spark, tmp_path):
+    jan, feb, mar = (features.month_start(2024 * 12 + k) for k in range(3))
+    schema = "entity string, type string, at_us bigint, amount double"
+    s = features.FeatureStore(spark, str(tmp_path / "f"))
+    s.update(spark.createDataFrame([("1", "a", jan, 1.0), ("1", "a", feb, 2.0)], schema))
+    assert s.update(spark.createDataFrame([("1", "a", feb, 2.0), ("2", "a", mar, 4.0)], schema), only=[2024 * 12 + 1, 2024 * 12 + 2]) == [2024 * 12 + 2]
+    assert {r.entity: r.total for r in s.features(spark.createDataFrame([], schema), mar).collect()} == {"1": 3.0, "2": 4.0}
+    s.update(spark.createDataFrame([], schema), only=[2024 * 12])
+    assert s.vacuum() and {r.entity: r.total for r in s.features(spark.createDataFrame([], schema), mar).collect()} == {"1": 2.0, "2": 4.0}

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 #: Days per time shard, a power of two of at least the longest period.
 SHARD = 64
-_TREE = "entity bigint, shard int, node array<smallint>, total array<double>, n array<bigint>"
-_CHUNK = 256
+_NODES = "shard int, node array<smallint>, total array<double>, n array<bigint>"
+#: (entity, shard) rows that are answered at once; an entity with more of them is answered in stretches of its time.
+_BLOCK = 4096
 
 
 def cover(low: int, high: int) -> list[int]:
@@ -70,11 +71,12 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def daily(rows: DataFrame) -> DataFrame:
     """(entity, day, total, n) of ``rows`` (entity, at_us, amount): per UTC day since 1970 the sum of the amounts that are numbers, and the rows.
 
-    Rows without an entity or a moment belong to no day and are left out; null, NaN and infinite amounts count as rows only.
+    Rows without an entity or a moment belong to no day and are left out; null and NaN amounts count as rows only. Infinite amounts are summed like others.
+    Entities keep their type, text ones too.
     """
-    value = F.when(F.abs("amount") < float("inf"), F.col("amount"))
+    value = F.when(~F.isnan("amount"), F.col("amount"))
     day = F.floor(F.col("at_us") / F.lit(86_400_000_000)).cast("int")
-    per = rows.filter(F.col("entity").isNotNull() & F.col("at_us").isNotNull()).groupBy(F.col("entity").cast("bigint").alias("entity"), day.alias("day"))
+    per = rows.filter(F.col("entity").isNotNull() & F.col("at_us").isNotNull()).groupBy("entity", day.alias("day"))
     return per.agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
@@ -88,7 +90,11 @@ def _leaves(days: DataFrame) -> DataFrame:
 def trees(days: DataFrame) -> DataFrame:
     """Segment trees of ``days`` (entity, day, total, n): per entity and shard the nodes with activity below them and their sums and counts."""
     none = [F.array().cast(f"array<{t}>").alias(n) for n, t in (("node", "smallint"), ("was_total", "double"), ("was_n", "bigint"))]
-    return _leaves(days).select("*", *none).mapInArrow(_grow, _TREE)
+    return _leaves(days).select("*", *none).mapInArrow(_grow, _tree(days))
+
+
+def _tree(df: DataFrame) -> str:
+    return f"entity {df.schema['entity'].dataType.simpleString()}, {_NODES}"
 
 
 def correct(tree: DataFrame, days: DataFrame) -> DataFrame:
@@ -99,64 +105,67 @@ def correct(tree: DataFrame, days: DataFrame) -> DataFrame:
     old = tree.select("entity", "shard", "node", F.col("total").alias("was_total"), F.col("n").alias("was_n"))
     j = _leaves(days).join(old, ["entity", "shard"], "left")
     fill = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("node", "array<smallint>"), ("was_total", "array<double>"), ("was_n", "array<bigint>"))]
-    return j.select("entity", "shard", "day", "total", "n", *fill).mapInArrow(_grow, _TREE)
+    return j.select("entity", "shard", "day", "total", "n", *fill).mapInArrow(_grow, _tree(days))
+
+
+def corrected(tree: DataFrame, days: DataFrame) -> DataFrame:
+    """All trees after the corrections ``days``: the rows of ``correct`` in place of those of the same (entity, shard)."""
+    return tree.join(days.select("entity", F.shiftright("day", SHARD.bit_length() - 1).alias("shard")).distinct(), ["entity", "shard"], "left_anti").unionByName(correct(tree, days))
 
 
 def _answers(periods: tuple[int, ...]):
     plan = [[(cover(max(0, o - p + 1), o), cover(SHARD + o - p + 1, SHARD - 1) if o - p + 1 < 0 else []) for o in range(SHARD)] for p in periods]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, _CHUNK):
-                yield from answer(whole.slice(k, _CHUNK))
+        for b in batches:
+            yield from answer(b)
 
     def answer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         t = b.column("t")  # per entity its shards: list<struct<shard, node, total, n>>
-        flat = t.flatten()
-        who = np.repeat(np.arange(len(t)), np.diff(t.offsets.to_numpy()))
-        shard = flat.field("shard").to_numpy(zero_copy_only=False).astype(np.int64)
-        if not len(shard):
+        flat, sizes = t.flatten(), np.diff(t.offsets.to_numpy())
+        if not len(flat):
             return
-        ents = len(t)
-        low, high = np.full(ents, np.iinfo(np.int64).max), np.full(ents, np.iinfo(np.int64).min)
-        np.minimum.at(low, who, shard)
-        np.maximum.at(high, who, shard)
-        width = high - low + 1
-        start = np.concatenate([[0], np.cumsum(width)])
-        row = start[who] + shard - low[who]
-        n_rows = int(start[-1])
-        totals, counts = np.zeros((2 * SHARD, n_rows + 1)), np.zeros((2 * SHARD, n_rows + 1), np.int64)
-        lists = [_lists(flat.field(x)) for x in ("node", "total", "n")]
-        at, node = row[lists[0][0]] + 1, lists[0][1].astype(int)
-        totals[node, at], counts[node, at] = lists[1][1], lists[2][1]
-        owner = np.repeat(np.arange(ents), width)
-        first_row = np.zeros(n_rows, bool)
-        first_row[start[:-1]] = True
-        seen = counts[SHARD:, 1:] > 0
-        day0 = (low[owner] + np.arange(n_rows) - start[owner]) * SHARD
-        days = day0[None, :] + np.arange(SHARD)[:, None]
-        first, last = np.full(ents, np.iinfo(np.int64).max), np.full(ents, np.iinfo(np.int64).min)
-        d, r = np.nonzero(seen)
-        np.minimum.at(first, owner[r], days[d, r])
-        np.maximum.at(last, owner[r], days[d, r])
-        inside = ((days >= first[owner]) & (days <= last[owner])).T
-        entity = b.column("entity").to_numpy(zero_copy_only=False)
-        cols, names = [pa.array(np.broadcast_to(entity[owner][:, None], inside.shape)[inside]), pa.array(days.T[inside].astype(np.int32))], ["entity", "day"]
-        for p, nodes in zip(periods, plan):
-            for what, source in (("total", totals), ("n", counts)):
-                out = np.zeros((SHARD, n_rows), source.dtype)
-                for o, (own, before) in enumerate(nodes):
-                    for x in own:
-                        out[o] += source[x, 1:]
-                    for x in before:
-                        out[o] += np.where(first_row, 0, source[x, :-1])
-                v = out.T[inside]
-                cols.append(pa.array(v))
-                names.append(f"{what}_{p}d")
-                if what == "total":
-                    cols.append(pa.array(v / p))
-                    names.append(f"avg_{p}d")
-        yield pa.RecordBatch.from_arrays(cols, names=names)
+        who = np.repeat(np.arange(len(t)), sizes)
+        shard = flat.field("shard").to_numpy(zero_copy_only=False).astype(np.int64)
+        (run_of, node), total, n = _lists(flat.field("node")), _lists(flat.field("total"))[1], _lists(flat.field("n"))[1]
+        node = node.astype(np.int64)
+        least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        first, last = np.full(len(t), most), np.full(len(t), least)
+        leaf = node >= SHARD
+        day, of = shard[run_of[leaf]] * SHARD + node[leaf] - SHARD, who[run_of[leaf]]
+        np.minimum.at(first, of, day)
+        np.maximum.at(last, of, day)
+        some = first <= last
+        low, high = np.where(some, first, 0) >> SHARD.bit_length() - 1, np.where(some, last, -1) >> SHARD.bit_length() - 1
+        start = np.concatenate([[0], np.cumsum(high - low + 1)])
+        row = start[who] + shard - low[who]  # one row per entity and shard from its first to its last
+        inside = some[who] & (shard >= low[who]) & (shard <= high[who])
+        keep = inside[run_of]
+        at, node, total, n = row[run_of][keep], node[keep], total[keep], n[keep]
+        by = np.argsort(at, kind="stable")
+        at, node, total, n = at[by], node[by], total[by], n[by]
+        for r0 in range(0, int(start[-1]), _BLOCK):
+            r1 = min(r0 + _BLOCK, int(start[-1]))
+            k0, k1 = np.searchsorted(at, r0 - 1), np.searchsorted(at, r1)
+            totals, counts = np.zeros((2 * SHARD, r1 - r0 + 1)), np.zeros((2 * SHARD, r1 - r0 + 1), np.int64)
+            totals[node[k0:k1], at[k0:k1] - r0 + 1], counts[node[k0:k1], at[k0:k1] - r0 + 1] = total[k0:k1], n[k0:k1]
+            rows = np.arange(r0, r1)
+            owner = np.searchsorted(start, rows, side="right") - 1
+            days = (((low[owner] + rows - start[owner]) * SHARD)[:, None] + np.arange(SHARD)).T
+            shown = ((days >= first[owner]) & (days <= last[owner])).T
+            opens = rows == start[owner]
+            cols, names = [b.column("entity").take(pa.array(np.broadcast_to(owner[:, None], shown.shape)[shown])), pa.array(days.T[shown].astype(np.int32))], ["entity", "day"]
+            for p, nodes in zip(periods, plan):
+                for what, source in (("total", totals), ("n", counts)):
+                    out = np.zeros((SHARD, r1 - r0), source.dtype)
+                    for o, (own, before) in enumerate(nodes):
+                        for x in own:
+                            out[o] += source[x, 1:]
+                        for x in before:
+                            out[o] += np.where(opens, 0, source[x, :-1])
+                    cols.append(pa.array(out.T[shown]))
+                    names.append(f"{what}_{p}d")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -166,9 +175,10 @@ def trailing(tree: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
 
     total_pd and n_pd cover the p days that end with the day, avg_pd is total_pd / p. Each is a range query answered from the O(log p) nodes that cover the
     period in the day's shard and the one before. An entity's shards, which the calendar bounds and not its rows, meet in one row; a hot entity costs no more
-    than any other. An empty table gives no rows.
+    than any other, and what is held at once is bounded by _BLOCK however far apart an entity's days are. An empty table gives no rows.
     """
     assert all(1 <= p <= SHARD for p in periods)
     per = tree.groupBy("entity").agg(F.collect_list(F.struct("shard", "node", "total", "n")).alias("t"))
-    cols = ", ".join(f"total_{p}d double, avg_{p}d double, n_{p}d bigint" for p in periods)
-    return per.mapInArrow(_answers(tuple(periods)), f"entity bigint, day int, {cols}")
+    cols = ", ".join(f"total_{p}d double, n_{p}d bigint" for p in periods)
+    out = per.mapInArrow(_answers(tuple(periods)), f"entity {tree.schema['entity'].dataType.simpleString()}, day int, {cols}")
+    return out.select("entity", "day", *[c for p in periods for c in (F.col(f"total_{p}d"), (F.col(f"total_{p}d") / F.lit(p)).alias(f"avg_{p}d"), F.col(f"n_{p}d"))])
