@@ -69,7 +69,7 @@ def test_leaks_frame(spark, monkeypatch):
     ("the Copper Landing boards", []),
     ("Dr. Ada R. van Talette and Mrs BRENHAM, ODETTE", [("name", "Ada R. van Talette"), ("name", "BRENHAM, ODETTE")]),
     ("Gemeldet von Haskherr, Tilo; Frau von Haskherr, Tilo", [("name", "Haskherr, Tilo"), ("name", "von Haskherr, Tilo")]),
-    ("begoña nevwick, T. Oskherr", [("name", "begoña nevwick"), ("name", "T. Oskherr")]),
+    ("signed for by begoña nevwick, for T. Oskherr", [("name", "begoña nevwick"), ("name", "T. Oskherr")]),
     ("Frau Else Müller kommt", [("name", "Else Müller")]),
     ("", []), (None, []),
 ])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -11,6 +12,9 @@ import regex
 Mapped = tuple[str, list[int] | range]
 
 
+_PLAIN = re.compile(r"[\x00-\x7f]+(?=[\x00-\x7f]|\Z)")
+
+
 def nfkc(text: str) -> Mapped:
     """NFKC and, for each of its characters, the index in ``text`` of the character it comes from.
 
@@ -19,6 +23,11 @@ def nfkc(text: str) -> Mapped:
     """
     out, at, k = [], [], 0
     while k < len(text):
+        if m := _PLAIN.match(text, k):  # nothing in such a run combines or changes
+            out.append(m[0])
+            at += range(k, m.end())
+            k = m.end()
+            continue
         j = k + 1
         while j < len(text) and (unicodedata.combining(text[j]) or "ᅠ" <= text[j] <= "ᇿ"):
             j += 1

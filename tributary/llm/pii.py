@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,6 +30,7 @@ _DIGITS = {
 }
 _D = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _SPELLED = regex.compile(rf"(?i)(?<!\w)(?:{_D})(?:[ -]+(?:{_D})){{4,}}(?!\w)")
+_DIGIT_PAIR = re.compile(rf"(?<!\w)(?:{_D})[ -]+(?:{_D})(?!\w)")
 _UNSEEN = regex.compile(r"[\p{Cf}]+")
 _ODD = regex.compile(r"[\p{Cf}\p{M}‐-―−‘-‟′\t\xa0  -  　＀-￯]|[A-Za-z][\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][A-Za-z]")
 _MIXED = regex.compile(r"\b(?=\w*[A-Za-z])(?=\w*[\p{Cyrillic}\p{Greek}])\w+\b")
@@ -38,17 +40,36 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _AT = regex.compile(r"(?i)(?<=\w)(?: ?[\[({<] ?(?:at|ät|arroba|arobase|klammeraffe) ?[\])}>] ?| (?:at|arroba|arobase|klammeraffe) (?=[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}))(?=\w)")
 
 
+_flags: dict[str, int] = {}
+
+
+def _flag(c: str) -> int:
+    """1 for a character that is rewritten wherever it stands, 2 for a letter that is only rewritten beside Latin ones."""
+    return 1 if regex.match(r"[\p{Cf}\p{M}‐-―−‘-‟′\xa0  -  　＀-￯]", c) else 2 if regex.match(r"[\p{Cyrillic}\p{Greek}]", c) else 0
+
+
+def _is_odd(text: str) -> bool:
+    """Whether a transducer of characters has anything to do; looks at each distinct character once."""
+    most = 1 if "\t" in text else 0
+    for c in set(text):
+        if c > "\x7f":
+            if c not in _flags:
+                _flags[c] = _flag(c)
+            most |= _flags[c]
+    return bool(most & 1) or bool(most & 2) and bool(_ODD.search(text))
+
+
 def deobfuscate(text: str) -> Mapped:
     """The text with look-alike and full-width characters, odd dashes and spaces made plain, invisible characters dropped, spelled digit runs as digits and
     the disguises of @ and . undone, and each character's place in the original. Cheap tests leave out the transducers that have nothing to do."""
     m = (text, range(len(text)))
-    if not text.isascii() and _ODD.search(text):
+    if not text.isascii() and _is_odd(text):
         m = nfkc(text)
         m = replace(m, _UNSEEN, lambda _: "")
         m = replace(m, _MIXED, lambda x: "".join(_LOOKALIKES.get(c, c) for c in x[0]))
         m = replace(m, _ONE, lambda x: _PLAIN[x[0]])
     low = m[0].lower()
-    if sum(w in _DIGITS for w in _WORDS.findall(low)) >= 5:
+    if _DIGIT_PAIR.search(low):
         m = replace(m, _SPELLED, lambda x: "".join(_DIGITS[w] for w in regex.split(r"[ -]+", x[0].lower())))
     if any(w in low for w in ("dot", "punkt", "punto", "point")):
         m = replace(m, _DOT, lambda _: ".")
@@ -91,7 +112,7 @@ _LABEL = (
     r"reisepass|dni|nie|nif|pasaporte|documento|nir|pièce|passeport|numéro de sécu(?:rité sociale)?|carte d'identité)"
 )
 _NUMBER = (
-    r"\d{3}(?P<n1>[ -]?)\d{2}(?P=n1)\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{2} ?\d{7}|[A-Z]\d{8}|\d{4}-\d{4}-\d{3}|\d{2}(?P<n2>[ /.]?)\d{3}(?P=n2)\d{3}(?P=n2)\d{3}|\d{8}[ -]?[A-Za-z]|\d{2}\.\d{3}\.\d{3}-[A-Za-z]"
+    r"\d{3}(?P<n1>[ -]?)\d{2}(?P=n1)\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{2} ?\d{7}|[A-Z]\d{7,8}|\d{4}-\d{4}-\d{3}|\d{2}(?P<n2>[ /.]?)\d{3}(?P=n2)\d{3}(?P=n2)\d{3}|\d{8}[ -]?[A-Za-z]|\d{2}\.\d{3}\.\d{3}-[A-Za-z]"
     r"|[XYZ][ -]?\d{7}[ -]?[A-Z]|[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?|(?=[A-Z0-9]*\d[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{9,10}"
 )
 _LABELLED = regex.compile(rf"(?<!\w){_LABEL}\"?(?: (?:is|ist|es|est|lautet|number|no\.?|nr\.?|n\.?º))?[ :=#\"']{{1,4}}(?P<v>(?:{_NUMBER}))(?![\w])(?!-\d)")
@@ -102,13 +123,8 @@ _TYPED = regex.compile(
 
 _LIKE_ID = regex.compile(r"\d{3}([ -])\d{2}\1\d{4}|\d{4}-\d{4}-\d{3}|0\d[ /]\d{3}[ /]\d{3}[ /]\d{3}")
 
-# Towns, which end an address that has no postal code behind them; other towns are taken as capitalised words up to the next punctuation.
-TOWNS = (
-    "Harrowgate Bay", "Pinnock Falls", "Copper Landing", "Marlow Ferry", "Little Sarn", "Tilbrock", "Dunmere", "Eastbrook", "Rübenau am See", "Bad Lindau-Moor", "Steinwerdern", "Altkirchfeld",
-    "Niederquell", "Tannhagen", "Oberfels", "San Telmo del Río", "Puente Olmar", "Altobrezo", "Fuenteclara", "Villarmenta", "Montejada", "Montclair-sur-Èze", "Les Aubrières", "Saint-Orme",
-    "Rochevigne", "Pontamar", "Valbrune",
-)
-_TOWN = "(?:(?i:" + "|".join(TOWNS) + r")|\p{Lu}[\p{L}'-]+(?: (?:am|an|der|del|de|la|le|sur|sous|\p{Lu}[\p{L}'-]+)){0,3}(?= ?(?:[.,;|\r\n<\"']|$)))"
+#: A town: capitalised words up to the next punctuation.
+_TOWN = r"(?:\p{Lu}[\p{L}'-]+(?: (?:am|an|der|del|de|la|le|sur|sous|\p{Lu}[\p{L}'-]+)){0,3}(?= ?(?:[.,;|\r\n<\"']|$)))"
 _GAP = r"(?:,? ?\r?\n ?|, ?| )"
 _HOUSE = r"\d{1,4}(?:-\d{1,4})?(?: ?(?i:bis|ter|quater)\b| ?[A-Za-z](?!\w))?"
 _ADDRESS = [
@@ -127,7 +143,8 @@ _ADDRESSES = regex.compile("(?<![\\w])(?:" + "|".join(_ADDRESS) + ")")
 _ANY = r"[\p{L}'.-]+(?: [\p{L}'-]+){0,3}"
 _BARE_TOWN = rf"(?:(?:,? ?\r?\n ?|, ){_TOWN}|, \p{{Lu}}[\p{{L}}'-]+(?:[ -]\p{{Lu}}[\p{{L}}'-]+){{0,2}})"
 _ZIP = r"(?:\d{5}(?:-\d{4})?|[A-Z]{2},? \d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2})(?!\w)"
-_TAIL = rf"(?:{_GAP}\d{{5}} (?:{_TOWN}|\p{{L}}[\p{{L}}'-]+(?:[ -](?:(?:am|an|der|del|de|la|le|sur|sous)\b ?)*\p{{Lu}}[\p{{L}}'-]+)*)|(?: -|,? (?:in|à|en)) (?:{_TOWN}|\p{{Lu}}[\p{{L}}'-]+(?:[ -]\p{{Lu}}[\p{{L}}'-]+)*)|{_BARE_TOWN})"
+_LOW_TOWN = r"\p{Ll}[\p{L}'-]+(?: \p{Ll}[\p{L}'-]+){0,2}(?= ?(?:[.,;|\r\n]|$))"
+_TAIL = rf"(?:{_GAP}\d{{5}} (?:{_TOWN}|{_LOW_TOWN}|\p{{L}}[\p{{L}}'-]+(?:[ -](?:(?:am|an|der|del|de|la|le|sur|sous)\b ?)*\p{{Lu}}[\p{{L}}'-]+)*)|(?: -|,? (?:in|à|en)) (?:{_TOWN}|\p{{Lu}}[\p{{L}}'-]+(?:[ -]\p{{Lu}}[\p{{L}}'-]+)*)|{_BARE_TOWN})"
 _EN = "(?i:road|rd|street|st|avenue|ave|lane|ln|terrace|court|ct|boulevard|blvd|drive|dr|way|close|square|place|row)\\b\\.?"
 _EN_CAP = "(?:(?=\\p{Lu})(?i:road|rd|street|st|avenue|ave|lane|ln|terrace|court|ct|boulevard|blvd|drive|dr|way|close|square|place|row)\\b\\.?)"
 _UNIT = r"(?:,? (?:(?i:apt\.?|unit|suite|flat|floor) ?\w+|\# ?\d+\w?))?"
@@ -143,50 +160,18 @@ _OPEN_ADDRESSES = regex.compile(
     rf"|{_HOUSE},? (?i:rue|avenue|av\.|bd|boulevard|impasse|quai|chemin|allée|place|cours|route|square) (?:(?i:de|du|des|la|le|les) |(?i:l|d)['])*\p{{L}}[\p{{L}}-]*(?: (?:(?i:de|du|des|la|le|les) |(?i:l|d)['])*\p{{Lu}}[\p{{L}}-]*){{0,4}}{_TAIL}"
     rf"|{_HOUSE},? (?i:rue|avenue|av\.|bd|boulevard|impasse|quai|chemin|allée|place) (?:(?i:de|du|des|la|le|les) |(?i:l|d)['])*\p{{Lu}}[\p{{L}}-]*(?: (?:(?i:de|du|des|la|le|les) |(?i:l|d)['])*\p{{Lu}}[\p{{L}}-]*){{0,4}}"
     rf"|\d{{1,5}}[A-Za-z]? (?:[\p{{L}}'-]+ ){{1,3}}?{_EN},? (?:(?i:apt\.?|unit|suite|flat|floor) ?\d\w*|\# ?\d+\w?){_GAP}\p{{L}}[\p{{L}}'-]+(?: [\p{{L}}'-]+)?(?= ?(?:[.,;|\r\n]|$))"
+    rf"|(?i:am|an der|im|auf der|zum|zur) \p{{L}}[\p{{L}}-]+(?: \p{{L}}[\p{{L}}-]+)? {_HOUSE}{_GAP}\d{{5}} {_LOW_TOWN}"
+    rf"|(?<=(?:\b(?:to|at|is|in)|[:|]) )\d{{1,5}} (?:[\p{{L}}'-]+ ){{1,2}}(?i:road|rd|street|st|avenue|ave|lane|ln|terrace|court|ct|boulevard|blvd|drive)\.?,? [\p{{L}}'-]+(?: [\p{{L}}'-]+)?(?= ?(?:[.,;|\r\n]|$))"
     rf"|(?<=[\r\n])\d{{1,5}} (?:[\p{{L}}'-]+ ){{1,2}}(?i:road|rd|street|st|avenue|ave|lane|ln|terrace|court|boulevard|blvd|drive)\.?,? [\p{{L}}'-]+(?: [\p{{L}}'-]+)?(?=[\r\n])"
     ")(?!\\w)"
 )
 
-# Given names.
-GIVEN = (
-    "Ines Callum Gideon Wren Amos Silas Edmund Nia Beth Hollis Rowan Odette Ada Tess Priya Mira Jonah Marcus Tomás Raúl Marisol Nuria Joaquín Ximena Gonzalo Begoña Íñigo Ramiro Inés "
-    "Andrés Pilar Leocadia Ulf Matthis Anke Tilo Jürgen Henning Heike Jana Lotte Ruprecht Käthe Wiebke Sören Dörte Rémi Thibault Loïc Zoé Élodie Hélène Aurélien Solène Noémie Gaspard "
-    "Maëlle Bastien Capucine Yves"
-).split()
-# First and last parts of which family names are made.
-FIRST_PARTS = "Bren Corv Dunn Fen Gris Hask Ild Kel Lam Marr Nev Orm Osk Pell Quis Rov Strand Tal Thorn Ulv Vash Wex Yar Zell".split()
-LAST_PARTS = "aldi anza beck dale escu ette feldt gård ham herr ino ière mark mund oux ovic quist sen ström tel ués verin wick worth".split()
-
-
-_PARTICLE = regex.compile(r"(?i)(?:von|de|del|du|van) ")
-#: Words after which von, de and the like are prepositions.
-_OF = regex.compile(r"(?i)(?<!\w)(?:gemeldet|erfasst|unterschrieben|adresse|anschrift|anruf|nachricht|brief|dirección|correo|mensaje|llamada|nombre|firma|adresse|nom|part|courrier|appel|message) $")
-
-
 class Names:
-    """Finds names by lists: ``given`` names, and family names made of ``first`` and ``last`` parts or listed whole in ``family``."""
-
-    def __init__(self, given=GIVEN, first=FIRST_PARTS, last=LAST_PARTS, family=()):
-        fam = "(?:(?:" + "|".join(first) + ")(?:" + "|".join(last) + ")" + "".join("|" + regex.escape(x) for x in family) + ")"
-        self.families = {(a + b).lower() for a in first for b in last} | {w.lower() for x in family for w in _WORDS.findall(x)}
-        self.given = {w.lower() for w in given}
-        self.family = fam = rf"(?:{fam}(?:-{fam})?(?![\p{{L}}\d]))"
-        name, more = "(?:" + "|".join(given) + r")(?![\p{L}\d])", r"(?: \p{L}\.(?! \p{L}\.))"
-        part = r"(?:(?:von der|von|van der|van den|van|de la|de los|de|del|della|di|da|du|le|la|zu|zur) )"
-        whole = rf"{part}?{fam}(?: (?:y |e )?{fam})?"
-        initials = r"(?:\p{L}\. ?){1,3}"
-        self.pattern = regex.compile(
-            rf"(?i)(?<![\p{{L}}\d@+_])(?<![\p{{L}}\d][-.])(?:{name}(?:[ -]{name})?{more}* {whole}|{initials}{whole}|{whole}, ?(?:{name}(?:[ -]{name})?{more}*|(?:\p{{L}}\.)(?: \p{{L}}\.)*)"
-            rf"|{whole} {name})(?![\p{{L}}\d@])"
-        )
-
-    def spans(self, text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        """Names around the family names at ``hits`` in ``text``; of "Adresse von Berg, Tilo" the preposition isn't part of the name, of "Frau von Berg, Tilo" it is."""
-        for m in (m for w in _windows(hits, 70, len(text)) for m in self.pattern.finditer(text, *w)):
-            a, b = m.span()
-            if (p := _PARTICLE.match(text, a, b)) and _OF.search(text, max(0, a - 20), a):
-                a = p.end()
-            yield a, b
+    """Names that are evidence by themselves: ``given`` and ``family`` names, by default common ones of four languages (names_public.py)."""
+
+    def __init__(self, given=names_public.GIVEN, family=names_public.FAMILY):
+        self.given, self.family = frozenset(w.lower() for w in given), frozenset(w.lower() for w in family)
+        self.triggers = _triggers(self.given)
 
 
 _TITLE = r"(?:Dr\.?|Mrs?\.?|Ms\.?|Miss|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|señora?|Sra?\.|Don|Doña)"
@@ -223,12 +208,13 @@ _CLOSING = regex.compile(
 _SIGNED = regex.compile(rf"(?P<v>{_FIELD})(?=[ ]*(?:[\r\n]|$))")
 _CLOSES = set("regards sincerely truly faithfully wishes cheers thanks you grüßen grüße mfg danke saludo saludos atentamente gracias cordialement vous salutations merci".split())
 _TO_MAIL = regex.compile(rf"(?:^|[;|\r\n\t]|(?<=[:;|,\"] ))\"?(?P<v>{_FIELD})\"?(?: ?[<;|\t(] ?| \(mailto:)$")
+_TO_PHONE = regex.compile(rf"(?:^|[;|\r\n\t]|(?<=[:;|\"] ))\"?(?P<v>{_SHAPE})\"?,? ?$")
 _NEAR_INITIAL = regex.compile(rf"(?:(?<=[|;:=\"<(\t] ?)|(?<=(?<!\p{{L}})(?i:by|to|from|with|for|and|dear|von|mit|bei|an|für|und|por|para|con|y|par|pour|avec|à|et) ))(?P<v>(?:\p{{Lu}}\. ?){{1,3}}{_OF_NAME}?{_CAP})(?![\p{{L}}\d@])")
 _MANY_INITIALS = regex.compile(rf"(?<![\p{{L}}\d.])(?<!\p{{Ll}}\. )(?!(?:U\. ?S|P\. ?[SO]|N\. ?B|Z\. ?B|D\. ?H|U\. ?A|E\. ?G|I\. ?E)\.)(?P<v>(?:\p{{Lu}}\. ?){{2,3}}{_OF_NAME}?{_CAP})(?![\p{{L}}\d@])")
 _VAN = regex.compile(rf"(?<![\p{{L}}\d@-])(?P<v>{_CAP}(?: \p{{Lu}}\.)* (?:van der|van den|van de|van|von|della|ten|ter) {_CAP})(?![\p{{L}}\d@])")
 _BY_GIVEN = regex.compile(rf"(?P<v>(?:{_TOKEN}[ -])?(?:{_INITIAL} )*{_OF_NAME}?{_TOKEN}(?:-{_TOKEN})?)(?![\p{{L}}\d@_(])")
 _BEFORE_GIVEN = regex.compile(rf"(?<![\p{{L}}\d@-])(?P<v>{_OF_NAME}?{_TOKEN}(?:-{_TOKEN})?, ?)$")
-_TITLED_ANY = regex.compile(rf"(?<!\w){_TITLE} (?:{_TITLE} )?(?P<v>\p{{Lu}}{{2,}}(?: \p{{Lu}}\.)?(?: {_OF_NAME})?(?: \p{{Lu}}{{2,}}(?:-\p{{Lu}}+)?){{1,2}}|{_CAP}(?: {_CAP})?, (?:{_CAP}|\p{{Lu}}\.)(?: \p{{Lu}}\.)*)(?!\w)")
+_TITLED_ANY = regex.compile(rf"(?<!\w){_TITLE} (?:{_TITLE} )?(?P<v>\p{{Lu}}{{2,}}(?: \p{{Lu}}\.)?(?: {_OF_NAME})?(?: \p{{Lu}}{{2,}}(?:-\p{{Lu}}+)?){{1,2}}|\p{{Lu}}{{2,}}(?:-\p{{Lu}}+)?, ?\p{{Lu}}{{2,}}|{_OF_NAME}?{_CAP}(?: {_CAP})?, (?:{_CAP}|\p{{Lu}}\.)(?: \p{{Lu}}\.)*)(?!\w)")
 # Words that are no part of a name where one is guessed from what stands around it.
 _NO_NAME = set(
     "the a an and or not no see none null all any please call check order parcel batch ticket page item note build version error warning info service server team group desk support data table column row id "
@@ -236,45 +222,76 @@ _NO_NAME = set(
     "february march april may june july august september october november december der die das und oder nicht kein siehe bitte team gruppe dienst lager system abteilung kunde montag dienstag mittwoch donnerstag "
     "freitag el los las y o por favor equipo grupo servicio almacén sistema lunes martes miércoles jueves viernes les et ou équipe groupe service entrepôt système lundi mardi mercredi jeudi vendredi this that "
     "it is are was has have for from with to in on at by of we i you he she they our your my then when after before if but is sent via hello hi dear hallo liebe lieber hola bonjour inc ltd gmbh sl sa sas corp "
-    "company bank office department north south east west new unknown pending open closed done todo select insert update true false".split()
+    "adresse anschrift anruf nachricht brief dirección correo mensaje llamada nombre firma nom part courrier appel message company bank office department north south east west new unknown pending open closed done todo select insert update true false".split()
 )
 
 
-_PARTICLES = set("von der zu zur van den de del della di da du la le los y e".split())
+# Words that open a sentence or clause; behind a name or town without a full stop they are the next sentence's.
+_OPENERS = set(
+    "a after an and any as at because before both but by each every for from how i if in it its my no of on once one or our so some that the their there these they this those to under until we what when whenever where "
+    "whether which while who why with without you your ship please assigned signed spoke verified reported call select insert update delete "
+    "ab als an auf aus bei bevor bis bitte da damit das dem den der die dies diese dieser ein eine einer er es für ihr im in ist jede jeder kein lieferung mein mit nach nachdem neue neuer ob obwohl oder ohne "
+    "seit seitdem sie sobald sofern so um unser unter vom von vor war warum was weil wenn wer wie wir wird wo zu zum zur zurück während gemeldet erfasst unterschrieben erwartet frau herr "
+    "a al ante antes así aunque bajo como con cuando de del desde después donde el ella en entre es esta este hasta la las le lo los mi mientras ni no nueva nuevo o para pero por porque que quien se si sin sobre su "
+    "tras tu un una vuelta y ya avisado firmado enviar señora señor señor don doña "
+    "à afin après au aucun aussi avant avec car ce ces cet cette chaque comme dans de depuis des dès donc du elle en entre est et il je jusqu la le les leur lorsque lors mais mes mon ne nos notre nous nouvelle nouveau on ou où "
+    "par parce pendant pour puis puisque quand que quelqu qui sans sauf selon ses si son sous sur tant tout toute un une vers votre vous clos livrer mme mlle monsieur madame retour merci "
+    "mr mrs ms miss dr".split()
+)
+_JOINING = frozenset("la le les las los el von der zu zur van den de del della di da du y e".split())
+_LAST_WORD = regex.compile(r"[ \r\n]+(\p{L}+)[\p{L}'’-]*$")
+_NEXT_FAMILY = regex.compile(rf" (?P<w>{_CAP})(?= (?:\p{{Ll}}|\p{{N}}|[(:<])|[.,;:|\r\n]|$)(?! \p{{Lu}})")
 
 
-_TOWNS = {x.lower() for x in TOWNS}
-#: An article, behind which a given name belongs to a thing.
-_ARTICLE = regex.compile(r"(?i)(?<!\p{L})(?:the|an?|el|la|los|las|una?|le|les|une|das|dem|ein|eine) $")
+def _trimmed(t: str, a: int, b: int) -> int:
+    """End of a name or address without the words at its end that open the next sentence, from the first such word behind the last comma, line end or number on."""
+    last = max(t.rfind(c, a, b) for c in ",\n")
+    last = max([last, *(m.end() for m in _DIGIT.finditer(t, max(a, last), b))])
+    for k, m in enumerate(_WORDS.finditer(t, max(a, last), b)):
+        if k and len(m[0]) > 1 and m.start() > a + 1 and t[m.start() - 1] == " " and m[0][0].isupper() and m[0].lower() in _OPENERS and not (m[0].lower() in _JOINING and m.end() + 1 < b and t[m.end() + 1].isupper()):
+            return m.start() - 1
+    while (m := _LAST_WORD.search(t, a, b)) and (len(m[1]) > 1 and m[1][0].isupper() and m[1].lower() in _OPENERS):
+        b = m.start()
+    return b
+
 
+_PARTICLES = set("von der zu zur van den de del della di da du la le los y e".split())
 
-class _Triggers:
-    """Words that open a window for names of no list."""
 
-    labels = {w.lower() for w in _WORDS.findall(regex.sub(r"\(\?:", " ", _PERSON + "|" + _PHRASE))} | {"anruferin", "empfängerin", "ansprechpartnerin", "inhaberin", "absenderin", "kundin", "destinataria", "destinatario", "appelante", "from", "von"}
+#: An article, behind which a given name belongs to a thing.
+_ARTICLE = regex.compile(r"(?i)(?<!\p{L})(?:the|an?|el|la|los|las|una?|le|les|une|das|dem|ein|eine) $")
 
 
 def _likely(name: str) -> bool:
     """Whether no word of a guessed name is an everyday one."""
-    if name.lower() in _TOWNS:
-        return False
     words = [w.lower() for w in _WORDS.findall(name)]
     return not any(len(w) > 1 and w in _NO_NAME and w not in _PARTICLES for w in words) and any(len(w) > 2 and w not in _PARTICLES for w in words)
 
 
-def _open_names(t: str, labels: list[tuple[int, int]], closes: list[tuple[int, int]], givens: list[tuple[int, int]], verbs: list[tuple[int, int]], mails: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Names that need no list: behind titles, labels, closings of letters, as the field before an email address, by initials or particles; and by common given names."""
-    n, given, starts = len(t), {t[a:b].lower() for a, b in givens}, {a for a, _ in mails}
+def _open_names(t: str, names: Names, hits: dict[str, list[tuple[int, int]]], mails: list[tuple[int, int]], phones: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Names by what stands around them: behind titles, labels, closings of letters, as the field before an email address or a phone number, by initials or particles; and by
+    common given names. Each pattern only looks around the words or signs that it needs."""
+    def widened(a: int, b: int) -> tuple[int, int]:
+        """A second family name belongs to a name whose place is sure."""
+        if " " in t[a:b] and (x := _NEXT_FAMILY.match(t, b, min(n, b + 60))) and x["w"].lower() not in _OPENERS and x["w"].lower() not in _NO_NAME:
+            return a, x.end("w")
+        return a, b
+
+    n, givens = len(t), hits["given"]
+    given, starts = {t[a:b].lower() for a, b in givens}, {a for a, _ in mails}
     behind = set()
+    titles = list(_windows(hits["title"], 90, n))
+    for w in titles:
+        for p in (_TITLED, _TITLED_ANY, _TITLED_LOW):
+            for m in p.finditer(t, *w):
+                yield widened(*m.span("v"))
     for a, b in givens:
         if (x := _TITLE_BEFORE.search(t, max(0, a - 12), a)) and (y := _GIVEN_ANY.match(t, a, min(n, a + 90))):
             yield y.span("v")
-    for a, _ in verbs:
-        if x := _BEFORE_VERB.search(t, max(0, a - 70), a):
+    for a, _ in hits["verb"]:
+        if x := _BEFORE_VERB.search(t, max(0, a - 70), a) or _LOW_BEFORE_VERB.search(t, max(0, a - 70), a):
             yield x.span("v")
-    for m in _TITLED_ANY.finditer(t):
-        yield m.span("v")
-    for w in _windows(labels, 40, n):
+    for w in _windows(hits["label"], 40, n):
         for m in _HAS_LABEL.finditer(t, *w):
             end = min(n, m.end() + 90)
             behind.add(m.end())
@@ -283,29 +300,36 @@ def _open_names(t: str, labels: list[tuple[int, int]], closes: list[tuple[int, i
                 x = _IN_FIELD.match(t, m.end(), end)
             if not x and ((y := _GIVEN_ANY.match(t, m.end(), end)) and y["g"].lower() in given or (y := _FIELD_THEN_MAIL.match(t, m.end(), end)) and y.end() in starts):
                 x = y
+            if not x:
+                x = _LOW_AFTER.match(t, m.end(), end)
             if x and not (m["l"] and m["l"] in ("name", "nombre", "nom") and '"' not in m[0]):
-                yield x.span("v")
-    for w in _windows(closes, 30, n):
+                yield widened(*x.span("v"))
+    for w in _windows(hits["close"], 30, n):
         for m in _CLOSING.finditer(t, *w):
             if x := _SIGNED.match(t, m.end(), min(n, m.end() + 90)):
                 yield x.span("v")
     for a, _ in mails:
         if x := _TO_MAIL.search(t, max(0, a - 90), a):
             yield x.span("v")
-    for p in (_NEAR_INITIAL, _MANY_INITIALS, _VAN):
-        for m in p.finditer(t):
-            yield m.span("v")
+    for a, _ in phones:
+        if x := _TO_PHONE.search(t, max(0, a - 90), a):
+            yield x.span("v")
+    initials = list(_windows([m.span() for m in _INITIALS.finditer(t)], 40, n))
+    for p, stretches in ((_NEAR_INITIAL, initials), (_MANY_INITIALS, initials), (_VAN, _windows(hits["particle"], 40, n))):
+        for w in stretches:
+            for m in p.finditer(t, *w):
+                yield m.span("v")
     for a, b in givens:
         if _ARTICLE.search(t, max(0, a - 6), a):
             continue
         if b < n and t[b] in " -" and t[a].isupper() and (x := _BY_GIVEN.match(t, b + 1, min(n, b + 90))):
             yield a, x.end("v")
-        elif b < n and t[b] == " " and (x := _WORDS.match(t, b + 1)) and x[0].lower() in names_public.FAMILY:
+        elif b < n and t[b] == " " and (x := _WORDS.match(t, b + 1)) and x[0].lower() in names.family:
             yield a, x.end()
         if x := _BEFORE_GIVEN.search(t, max(0, a - 60), a):
             fam = _WORDS.findall(x["v"])[-1].lower()
             line = x.start() == 0 or t[x.start() - 1] in "\r\n|;\t\"" or t[max(0, x.start() - 2) : x.start()] in (": ", "| ", "= ")
-            if fam in names_public.FAMILY or line or x.start() in behind or _TITLE_BEFORE.search(t, max(0, x.start() - 12), x.start()):
+            if fam in names.family or line or x.start() in behind or _TITLE_BEFORE.search(t, max(0, x.start() - 12), x.start()):
                 yield x.start("v"), b
 
 
@@ -335,6 +359,11 @@ _FIELD_THEN_MAIL = regex.compile(rf"(?P<v>{_FIELD}) ?[(<]")
 _TITLE_BEFORE = regex.compile(rf"(?<!\w){_TITLE} $")
 _VERBS = set("wrote writes called calls asks asked says said moved escribe pide llamó dice écrit demande dit".split())
 _BEFORE_VERB = regex.compile(rf"(?:^|(?<=[\r\n.!?…] ?))(?P<v>{_SHAPE}) $")
+_LOW_NAME = rf"\p{{Ll}}{{2,}}(?: \p{{Ll}}\.)? {_OF_NAME}?\p{{Ll}}{{3,}}(?:-\p{{Ll}}+)?"
+#: Names in small letters, only where a title, label or verb makes their place sure.
+_TITLED_LOW = regex.compile(rf"(?<!\w){_TITLE} (?:{_TITLE} )?(?P<v>{_LOW_NAME})(?![\p{{L}}\d@])")
+_LOW_AFTER = regex.compile(rf"(?:{_TITLE} )*(?P<v>{_LOW_NAME})(?= ?(?:[,.;:|(<\r\n]|$)| (?:at|with|still|for|on|about|um|mit|con|avec)\b)")
+_LOW_BEFORE_VERB = regex.compile(rf"(?:^|(?<=[\r\n]))(?P<v>{_LOW_NAME}) $")
 _COLUMN = regex.compile(rf"(?i)(?:{_PERSON})")
 _CELL = regex.compile(rf'\s*"?(?:{_TITLE} )?(?P<v>{_FIELD})"?\s*')
 
@@ -345,6 +374,56 @@ _STREETS = set(
     "rue av bd impasse quai chemin allée cours route".split()
 )
 _STREET_ENDS = ("straße", "strasse", "str", "gasse", "weg", "allee", "platz", "ufer", "ring", "damm")
+# Words of titles, particles inside names, and words of which labels and phrases before a name have at least one.
+_TITLE_WORDS = "dr mr mrs ms miss herr herrn frau mme mlle monsieur madame señor señora sr sra don doña".split()
+_PARTICLE_WORDS = "van von della ten ter".split()
+_LABEL_WORDS = (
+    "caller recipient contact customer client holder owner assignee reporter requester employee patient applicant author sender signatory attn fullname surname name anrufer anruferin empfänger empfängerin "
+    "ansprechpartner ansprechpartnerin kontakt kundin kunde inhaber inhaberin absender absenderin melder melderin bearbeiter bearbeiterin mitarbeiter mitarbeiterin destinatario destinataria contacto cliente titular "
+    "remitente solicitante empleado interlocutor interlocutora destinataire titulaire expéditeur demandeur appelant appelante interlocuteur apellidos completo prénom nachname nombre nom "
+    "signed reported assigned approved reviewed written requested submitted sent received collected confirmed verified opened closed handled called raised spoke talked behalf "
+    "unterschrieben gemeldet erfasst bearbeitet zugewiesen namen gesprochen adresse avisado firmado asignado hablé dirección signalé signé assigné attribué parlé row from von de to para an à"
+).split()
+_ONLY_AT_START = frozenset("from von de to para an à".split())
+
+
+def _triggers(given: frozenset[str]) -> ahocorasick.Automaton:
+    """One automaton over the words that open a window for a detector; a value is (length, kinds)."""
+    kinds: dict[str, list[str]] = {}
+    for kind, ws in (("given", given), ("street", _STREETS), ("end", _STREET_ENDS), ("verb", _VERBS), ("close", _CLOSES), ("title", _TITLE_WORDS), ("particle", _PARTICLE_WORDS), ("label", _LABEL_WORDS)):
+        for w in ws:
+            kinds.setdefault(w, []).append(kind)
+    a = ahocorasick.Automaton()
+    for w, ks in kinds.items():
+        a.add_word(w, (len(w), tuple(ks)))
+    a.make_automaton()
+    return a
+
+
+def _hits(t: str, names: Names) -> dict[str, list[tuple[int, int]]]:
+    """Spans of the trigger words of ``t`` by kind, in order; letters whose lower case is longer than one character stay as they are."""
+    low, n = t.lower(), len(t)
+    if len(low) != n:
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    out: dict[str, list[tuple[int, int]]] = {k: [] for k in ("given", "street", "verb", "close", "title", "particle", "label")}
+    for last, (size, kinds) in names.triggers.iter(low):
+        a, b = last - size + 1, last + 1
+        if b < n and low[b].isalpha():
+            continue
+        if a and low[a - 1].isalpha():
+            if "end" in kinds:
+                out["street"].append((a, b))
+            continue
+        for k in kinds:
+            if k == "label" and low[a:b] in _ONLY_AT_START and (low[b : b + 1] != ":" or a and low[a - 1] != "\n"):
+                continue
+            out["street" if k == "end" else k].append((a, b))
+    for v in out.values():
+        v.sort()
+    return out
+
+
+_INITIALS = re.compile(r"(?<![^\W\d_])[^\W\d_]\.")
 #: Runs with as many digits as any number that is looked for.
 _RUN = re.compile(r"\d[\d ()./-]{5,}\d|[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d|[A-Z0-9]*\d[A-Z0-9]{6,}|\d{7,}|(?<![A-Z0-9])(?=[A-Z]*\d[A-Z]*\d)[A-Z0-9]{9,10}(?![A-Z0-9])")
 
@@ -378,26 +457,13 @@ def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
             taken[a:b] = b"\1" * (b - a)
             got.append((a, b, kind))
 
-    n, families, streets, labels, closes, givens, verbs = len(t), [], [], [], [], [], []
-    for m in _WORDS.finditer(t):
-        w = m[0].lower()
-        if w in names.families:
-            families.append(m.span())
-        if w in _STREETS or w.endswith(_STREET_ENDS):
-            streets.append(m.span())
-        if w in names_public.GIVEN or w in names.given:
-            givens.append(m.span())
-        if w in _Triggers.labels:
-            labels.append(m.span())
-        if w in _VERBS:
-            verbs.append(m.span())
-        if w in _CLOSES:
-            closes.append(m.span())
+    n, hits = len(t), _hits(t, names)
     if "@" in t:
         for m in _EMAIL.finditer(t):
             add(*m.span(), "email")
-    for m in (m for w in _windows(streets, 110, n) for m in _ADDRESSES.finditer(t, *w)):
-        add(*m.span(), "address")
+    streets = list(_windows([(a, b) for a, b in hits["street"] if _DIGIT.search(t, max(0, a - 60), b + 60)], 110, n))
+    for m in (m for w in streets for m in _ADDRESSES.finditer(t, *w)):
+        add(m.start(), _trimmed(t, *m.span()), "address")
     runs = list(_windows([m.span() for m in _RUN.finditer(t)], 60, n))
     for m in (m for w in runs for m in _LABELLED.finditer(t, *w)):
         add(*m.span("v"), "id_number")
@@ -411,19 +477,21 @@ def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     for m in (m for w in runs for m in _TYPED.finditer(t, *w)):
         if not _of_thing(t, *m.span()):
             add(*m.span(), "id_number")
-    for m in (m for w in _windows(streets, 110, n) for m in _OPEN_ADDRESSES.finditer(t, *w)):
-        add(*m.span(), "address")
-    for a, b in names.spans(t, families):
-        add(a, b, "name")
-    for m in _TITLED.finditer(t):
-        add(*m.span("v"), "name")
+    for m in (m for w in streets for m in _OPEN_ADDRESSES.finditer(t, *w)):
+        add(m.start(), _trimmed(t, *m.span()), "address")
     mails = [(a, b) for a, b, k in got if k == "email"]
-    for a, b in [*_open_names(t, labels, closes, givens, verbs, mails), *(_columns(t) if "|" in t or ";" in t or "\t" in t else ())]:
-        if _likely(t[a:b]):
-            add(a, b, "name")
+    phones = [(a, b) for a, b, k in got if k == "phone"]
+    for a, b in [*_open_names(t, names, hits, mails, phones), *(_columns(t) if "|" in t or ";" in t or "\t" in t else ())]:
+        b = _trimmed(t, a, b)
+        if " " in t[a:b] or "," in t[a:b] or "." in t[a:b]:
+            if _likely(t[a:b]):
+                add(a, b, "name")
     return [(*source_span(mapped, a, b, len(text)), k) for a, b, k in sorted(got)]
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def redact(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
     """The text with each found value replaced by its kind in brackets and all else unchanged."""
     if not found or text is None:
