@@ -24,13 +24,13 @@ def current_rows(df: DataFrame, key: str, order: list[str], *keep: str) -> DataF
     """The row of each ``key`` that is greatest by ``order`` (nulls least), with the columns ``keep``.
 
     A null key names no record, so each such row is current. Rows that tie in all of ``order`` differ in nothing that counts here; one of them is kept.
+    Rows without a key get a number of their own as key, so they spread over tasks and the table is read once.
     The window's row limit runs before the shuffle as well, so repeats of one hot key are cut down where they are read.
     """
     cols = list(dict.fromkeys([key, *order, *keep]))
-    rows = df.select(*cols)
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    named = rows.filter(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    return named.unionByName(rows.filter(F.col(key).isNull())).select(*keep)
+    rows = df.select(*cols).withColumn("__own", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    w = Window.partitionBy(key, "__own").orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*keep)
 
 
 def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:

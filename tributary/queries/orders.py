@@ -84,8 +84,10 @@ def _days(out: DataFrame) -> DataFrame:
 
 
 def _rounded(out: DataFrame) -> DataFrame:
-    """Sums of doubles depend on their order in the last places; rounded to what doesn't."""
-    return out.select("customer_id", "day", *[c for p in (7, 30) for c in (F.round(f"total_{p}d", 4).alias(f"total_{p}d"), F.round(F.round(f"total_{p}d", 4) / p, 6).alias(f"avg_{p}d"))])
+    """Sums of doubles depend on their order in the last places; rounded to what doesn't. rint isn't dear as round is, which goes by decimals."""
+    places = lambda c, n: F.rint(c * F.lit(10.0**n)) / F.lit(10.0**n)
+    out = out.select("customer_id", "day", *[places(F.col(f"total_{p}d"), 4).alias(f"total_{p}d") for p in (7, 30)])
+    return out.select("customer_id", "day", *[c for p in (7, 30) for c in (F.col(f"total_{p}d"), places(F.col(f"total_{p}d") / F.lit(p), 6).alias(f"avg_{p}d"))])
 
 
 def p5_rolling(spark: SparkSession, d: str) -> DataFrame:
