@@ -21,7 +21,7 @@ def test_top_n_against_brute_force(spark):
 
 
 def test_top_n_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(topn, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(topn, "BROADCAST_BYTES", 0)
     df = spark.createDataFrame([("a", float(k), k) for k in range(50)] + [("b", 1.0, 1)], "grp string, score double, tie bigint")
     got = topn.top_n(df, 5, ["grp", "tie"], [40.0, 20.0]).collect()
     assert sorted((r.grp, r.tie, r.rank_no) for r in got) == [("a", 45, 5), ("a", 46, 4), ("a", 47, 3), ("a", 48, 2), ("a", 49, 1), ("b", 1, 1)]

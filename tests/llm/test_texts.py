@@ -29,14 +29,14 @@ def test_nfkc_keeps_places():
     ("", False), (None, False), ("a " * 50_000, False), ("z " * 50_000 + ITEM, True),
 ])
 def test_leak(text, found):
-    a = leakage.automaton([(1, ITEM), (2, None), (3, "too short"), (4, "")])
+    a = leakage.Finder([(1, ITEM), (2, None), (3, "too short"), (4, "")])
     assert leakage.found_in(a, text) == ({1} if found else set())
     for i, s, e in leakage.passages_in(a, text):
         assert i == 1 and " ".join(leakage.words(text[s:e])) in " ".join(leakage.words(ITEM))
 
 
 def test_leaks_frame(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "ITEMS", 1)
+    monkeypatch.setattr(leakage, "CHARS", 1)
     docs = spark.createDataFrame([(1, ITEM, 0), (1, ITEM, 0), (2, None, 0), (None, ITEM, 0)], "doc_id bigint, text string, item_id int")
     items = spark.createDataFrame([(5, ITEM), (6, ITEM + " again"), (7, None), (None, ITEM)], "item_id int, text string")
     assert sorted(map(tuple, leakage.leaks(docs, items, "doc_id", "item_id").collect()), key=str) == [(1, 5), (1, 5), (1, 6), (1, 6), (None, 5), (None, 6)]
@@ -111,3 +111,29 @@ def test_pii_frames(spark):
     got = {r.doc_id: r.text for r in pii.redacted(df, "doc_id").collect()}
     assert got[4] == "[NAME], [PHONE]" and got[2] is None and got[3] == ""
     assert pii.found_values(df.limit(0), "doc_id").collect() == []
+
+
+def test_leaks_against_brute_force():
+    rnd = random.Random(8)
+    for _ in range(120):
+        letters = rnd.choice(["ab", "abc", "abcdefgh"])
+        items = [(i, " ".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40)))) for i in range(5)]
+        doc = []
+        for _ in range(6):
+            t = rnd.choice(items)[1].split()
+            a = rnd.randint(0, max(0, len(t) - 1))
+            doc += t[a : a + rnd.randint(8, 20)] + [rnd.choice(letters) for _ in range(rnd.randint(0, 3))]
+        grams = {i: {tuple(w[k : k + 12]) for k in range(len(w) - 11)} for i, t in items for w in [t.split()]}
+        ends = {i: [k + 11 for k in range(len(doc) - 11) if tuple(doc[k : k + 12]) in g] for i, g in grams.items()}
+        f = leakage.Finder(items)
+        assert leakage.found_in(f, " ".join(doc)) == {i for i, e in ends.items() if e}
+        want = []
+        for i, es in ends.items():
+            spans = []
+            for e in es:
+                if spans and e <= spans[-1][1] + 1:
+                    spans[-1][1] = e
+                else:
+                    spans.append([e - 11, e])
+            want += [(i, 2 * a, 2 * b + 1) for a, b in spans]
+        assert leakage.passages_in(f, " ".join(doc)) == sorted(want)

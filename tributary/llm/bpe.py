@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -19,8 +18,6 @@ _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Words whose ids a worker remembers, words and bytes of one recursive query, documents of one step.
 REMEMBER, WORDS, BYTES, DOCS = 300_000, 50_000, 1_000_000, 2_000
-#: Words of more bytes are merged with a heap instead: the recursion's steps grow with a word's distinct merges, and each step writes the whole word again.
-LONG = 1_000
 
 
 def byte_letters() -> list[str]:
@@ -40,22 +37,25 @@ class Vocabulary:
         self.bytes_ = np.array([ids[c] for c in letters], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = np.array([(ids[a], ids[b], k, ids[a + b]) for k, (a, b) in enumerate(pairs)], np.int32)
+        self.adjacent = np.zeros(1 << 16, bool)  # pairs of bytes that stand side by side in some token
         self.tokens = {i: bytes(back[c] for c in s) for s, i in ids.items()}
+        for x in self.tokens.values():
+            self.adjacent[[p << 8 | q for p, q in zip(x, x[1:])]] = True
 
 
 _STEP = """
-WITH RECURSIVE s AS (
-  SELECT 0 AS k, w, p, t FROM start
+WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
+  SELECT w, p, t FROM start
   UNION ALL
-  SELECT k + 1, w, p, CASE WHEN here THEN merged ELSE t END
+  SELECT w, p, CASE WHEN here THEN merged WHEN NOT gone THEN t END
   FROM (SELECT *, coalesce(lag(here) OVER (PARTITION BY w ORDER BY p), false) AS gone
         FROM (SELECT *, merged IS NOT NULL AND rank = least AND (i - min(CASE WHEN merged IS NOT NULL AND rank = least THEN i END) OVER (PARTITION BY w, run)) % 2 = 0 AS here
               FROM (SELECT *, i - sum(CASE WHEN rank = least THEN 1 ELSE 0 END) OVER (PARTITION BY w ORDER BY p) AS run
                     FROM (SELECT q.*, m.rank, m.merged, min(m.rank) OVER (PARTITION BY q.w) AS least
-                          FROM (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY p) AS u, row_number() OVER (PARTITION BY w ORDER BY p) AS i FROM s) q
+                          FROM (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY p) AS u, row_number() OVER (PARTITION BY w ORDER BY p) AS i FROM s WHERE t IS NOT NULL) q
                           LEFT JOIN merges m ON q.t = m.l AND q.u = m.r))))
-  WHERE least IS NOT NULL AND NOT gone)
-SELECT w, list(t ORDER BY p) AS ids FROM s JOIN (SELECT w, max(k) AS k FROM s GROUP BY w) USING (w, k) GROUP BY w
+  WHERE least IS NOT NULL)
+SELECT w, list(t ORDER BY p) AS ids FROM s WHERE t IS NOT NULL GROUP BY w
 """
 _here: dict = {}
 
@@ -71,52 +71,32 @@ def _connection(v: Vocabulary) -> duckdb.DuckDBPyConnection:
     return _here["c"]
 
 
-def encode_long(v: Vocabulary, word: bytes) -> tuple[int, ...]:
-    """Ids of one word of any length: pairs are taken from a heap by rank, then place, so the leftmost of least rank always comes first."""
-    if _here.get("pairs_of") is not v:
-        _here.update(pairs_of=v, pairs={(int(a), int(b)): (int(k), int(m)) for a, b, k, m in v.merges})
-    pairs = _here["pairs"]
-    t: list[int | None] = [int(x) for x in v.bytes_[np.frombuffer(word, np.uint8)]]
-    n = len(t)
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(*pairs[t[i], t[i + 1]], i, t[i], t[i + 1]) for i in range(n - 1) if (t[i], t[i + 1]) in pairs]
-    heap = [(k, i, m, a, b) for k, m, i, a, b in heap]
-    heapq.heapify(heap)
-    while heap:
-        _, i, merged, a, b = heapq.heappop(heap)
-        j = after[i]
-        if t[i] != a or j >= n or t[j] != b:
-            continue
-        t[i], t[j], after[i] = merged, None, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for x, y in ((before[i], i), (i, after[i])):
-            if x >= 0 and y < n and (t[x], t[y]) in pairs:
-                rank, m = pairs[t[x], t[y]]
-                heapq.heappush(heap, (rank, x, m, t[x], t[y]))
-    return tuple(x for x in t if x is not None)
-
-
 def encode_words(v: Vocabulary, words: list[str]) -> dict[str, tuple[int, ...]]:
     """Ids of each word. The rows (word, position, token) join the merge table with their right neighbour; a word's pairs of least rank are contracted from the
-    left, all that don't overlap in one step, which is what contracting the leftmost again and again comes to; a word without a pair that merges is done. Words of more than LONG bytes go to encode_long."""
-    c, out = _connection(v), {w: encode_long(v, w.encode("utf-8", "surrogatepass")) for w in words if len(w) * 4 > LONG and len(w.encode("utf-8", "surrogatepass")) > LONG}
-    words, k = [w for w in words if w not in out], 0
+    left, all that don't overlap in one step, which is what contracting the leftmost again and again comes to; a word without a pair that merges is done.
+    Two bytes that stand side by side in no token are never merged across, so words are cut there first. The recursion is keyed by word and position: what
+    it holds is the words as they are, however many steps they take."""
+    c, out, k = _connection(v), {}, 0
     while k < len(words):
-        part, size = [], 0
+        part, size, base = [], 0, k
         while k < len(words) and len(part) < WORDS and (not part or size < BYTES):
             part.append(words[k].encode("utf-8", "surrogatepass"))
             size += len(part[-1])
             k += 1
-        n = np.array([len(x) for x in part])
-        ends = np.concatenate([[0], np.cumsum(n)])
-        start = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), n), "p": (np.arange(ends[-1]) - np.repeat(ends[:-1], n)).astype(np.int32), "t": v.bytes_[np.frombuffer(b"".join(part), np.uint8)]})
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in part])])
+        b = np.frombuffer(b"".join(part), np.uint8)
+        first = np.zeros(len(b), bool)
+        first[ends[:-1]] = True
+        first[1:] |= ~v.adjacent[(b[:-1].astype(np.int32) << 8) | b[1:]]
+        starts = np.nonzero(first)[0]
+        piece = np.cumsum(first) - 1
+        start = pa.table({"w": piece.astype(np.int32), "p": (np.arange(len(b)) - starts[piece]).astype(np.int32), "t": v.bytes_[b]})
         c.register("start", start)
-        got = c.execute(_STEP).fetchall()
+        got = dict(c.execute(_STEP).fetchall())
         c.unregister("start")
-        base = k - len(part)
-        for w, ids in got:
-            out[words[base + w]] = tuple(ids)
+        bounds = np.searchsorted(starts, ends)
+        for w in range(len(part)):
+            out[words[base + w]] = tuple(i for x in range(bounds[w], bounds[w + 1]) for i in got[x])
     return out
 
 

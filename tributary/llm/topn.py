@@ -11,8 +11,8 @@ from tributary.storage import written
 
 #: Shares of all rows above the lower edge of each band but the last, which takes the rest.
 BANDS = (0.02, 0.15)
-#: Most group keys that are broadcast; at some tens of bytes a key a few MB.
-BROADCAST_GROUPS = 50_000
+#: Most bytes of keys of filled groups that are broadcast, measured before each broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def band_edges(rows: DataFrame, score: str, shares: tuple[float, ...] = BANDS) -> list[float]:
@@ -28,7 +28,8 @@ def top_n(rows: DataFrame, n: int, keep: list[str], edges: list[float]) -> DataF
     isn't defined; callers who need one make tie unique. Other columns of ``rows`` are left out. The rows are written once, in bands of descending score with the lower ``edges``. Each band is
     read from the top without the groups that the bands above have filled, and its first rows per group are ranked exactly, behind the rows that the group has
     from above. The ranking window cuts every task's rows to n per group before the shuffle, so a group of any size sends no more than n rows a task. The
-    filled groups are broadcast only up to BROADCAST_GROUPS; beyond that the anti-join follows the cut, where no group is large. Empty tables give no rows.
+    filled groups' keys are broadcast where their measured size is at most BROADCAST_BYTES; beyond that the anti-join follows the cut, where no group is large and
+    the rows already lie by group. Either way gives the same rows. Empty tables give no rows.
     """
     cols = list(dict.fromkeys(["grp", "score", "tie", *keep]))
     valid = rows.select(*cols).filter(F.col("grp").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score")).withColumn("score", F.col("score") + F.lit(0.0))
@@ -43,7 +44,8 @@ def top_n(rows: DataFrame, n: int, keep: list[str], edges: list[float]) -> DataF
         if done:
             have = reduce(DataFrame.unionAll, [x.select("grp") for x in done]).groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("__have"))
             filled = have.filter(F.col("__have") >= n).select("grp")
-            small = filled.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+            size = filled.agg(F.sum(F.octet_length(F.col("grp").cast("string")) + 32)).first()[0] or 0  # a row's own bytes besides
+            small = size <= BROADCAST_BYTES
             if small:
                 part = part.join(F.broadcast(filled), "grp", "left_anti")
         first = part.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n)
