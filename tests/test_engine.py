@@ -214,8 +214,8 @@ def test_text_passes():
     assert sqltext.materialize_directive("-- x\n-- tributary: materialize t1\nSELECT 1") == "t1" and sqltext.materialize_directive("SELECT '-- tributary: materialize t'") is None
     assert sqltext.redact("SELECT a FROM s.t WHERE b = 'x' AND c > 5 -- hi") == "SELECT a FROM s.t WHERE b = '?' AND c > ? " and sqltext.redact("select 1 from a.b join c", "shape") == "SELECT a.b, c"
     assert sqltext.rewrite_dialect("SELECT unnest(generate_series(a, b, c)), from_json(x), from_json(x, 'a int'), 'unnest('") == "SELECT explode(sequence(a, b, c)), json_elements(x), from_json(x, 'a int'), 'unnest('"
-    with pytest.raises(sqltext.SqlError):
-        sqltext.rewrite_dialect("SELECT 1 FROM a RIGHT SEMI JOIN b")
+    assert sqltext.rewrite_dialect("SELECT b.x FROM a RIGHT SEMI JOIN b ON a.x = b.x") == "SELECT b.x FROM b LEFT SEMI JOIN a ON a.x = b.x"
+    assert code(sqltext.rewrite_dialect, "SELECT sum(x) OVER (ORDER BY y GROUPS 1 PRECEDING) FROM a JOIN b ON true") == "UNSUPPORTED"
     got = []
     assert sqltext.rewrite_calls("SELECT * FROM f.g(-1, 'a''b', NULL, 2.5) x, (SELECT 'f.g(1)') y", {"f.g"}, lambda c: got.append(c.args) or "V") == "SELECT * FROM V x, (SELECT 'f.g(1)') y"
     assert got == [[-1, "a'b", None, 2.5]] and code(sqltext.rewrite_calls, "SELECT * FROM a.b.c(1)", {"b.c"}, str) in ("INVALID_FUNCTION", "UNKNOWN_FUNCTION")
@@ -411,3 +411,76 @@ def test_cron_and_refresher():
     time.sleep(0.4)
     r.stop()
     assert hits
+
+
+def test_cache_is_looked_at_on_each_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    (tmp_path / "ab.csv").write_text("x\n7\n")
+    e = Engine(spark, {"sources": [{"name": "s", "kind": "file", "config": {"path": f"{tmp_path}/*.csv"}, "cache": {"ttl": "1h"}}]}, root=str(tmp_path / "store"))
+    assert e.store.entries() == {}  # nothing is fetched before it is read
+    assert rows(e.query("SELECT count(*) FROM s.a JOIN s.ab ON true")) == [(1,)] and sorted(e.store.entries()) == ["s.a", "s.ab"]
+    old = e.store.entries()["s.ab"]["path"]
+    (tmp_path / "a.csv").write_text("x\n1\n2\n")
+    e.refresh_catalog()
+    assert rows(e.query("SELECT count(*) FROM s.a")) == [(1,)]  # still fresh
+    e.refresh_table("s.a")
+    assert rows(e.query("SELECT count(*) FROM s.a")) == [(2,)] and e.store.entries()["s.ab"]["path"] == old  # only that table
+    (tmp_path / "a.csv").write_text("x\n1\n2\n3\n")
+    e.refresh_catalog()
+    with e.store._locked() as m:
+        m["s.a"]["written"] -= 4000
+    assert rows(e.query("SELECT count(*) FROM s.a")) == [(3,)]  # over its time
+    second = Engine(spark, e.config, root=e.root)
+    assert rows(second.query("SELECT count(*) FROM s.a")) == [(3,)] and code(e.refresh_table, "s.zz") == "UNKNOWN_MATERIALIZED"
+
+
+def test_refreshers_of_the_configuration(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    e = Engine(spark, {"sources": [{"name": "s", "kind": "file", "config": {"path": f"{tmp_path}/*.csv"}, "cache": {"ttl": "1h", "refresh": "200ms"}}]}, root=str(tmp_path / "store"))
+    end = time.time() + 30
+    while "s.a" not in e.store.entries() and time.time() < end:
+        time.sleep(0.1)
+    assert e.store.fresh("s.a") and not e.refreshers["s"][0].errors
+    e.remove_source("s")
+    assert e.refreshers == {}
+    e.shutdown()
+
+
+def test_dependent_join_in_sql(spark, api, tmp_path):
+    (tmp_path / "k.csv").write_text("k\na\nb\nb\n")
+    spec_ = spec("/echo", params=[{"name": "k", "required": True}])
+    e = Engine(spark, {"sources": [{"name": "api", "kind": "http", "config": {**api, "tables": [spec_]}}, {"name": "f", "kind": "file", "config": {"path": f"{tmp_path}/*.csv"}}]}, root=str(tmp_path / "store"))
+    _Mock.seen.clear()
+    assert sorted(rows(e.query("SELECT d.k, t.id FROM f.k d JOIN api.t t ON t.k = d.k"))) == [("a", 1), ("b", 1), ("b", 1)]
+    assert sorted(x for x in _Mock.seen if x.startswith("/echo")) == ["/echo?k=a", "/echo?k=b"]
+    assert sorted(rows(e.query("WITH d AS (SELECT DISTINCT k FROM f.k WHERE k > 'a') SELECT d.k, x.id FROM api.t AS x JOIN d ON d.k = x.k"))) == [("b", 1)]
+    assert rows(e.query("SELECT d.k FROM f.k d, api.t WHERE t.k = d.k AND d.k = 'a'")) == [("a",)]
+    assert rows(e.query("SELECT d.k FROM f.k d JOIN api.t t ON t.k = d.k WHERE d.k = 'zz'")) == []
+
+
+def test_json_and_array_calls(shop):
+    one = lambda x: rows(shop.query(f"SELECT {x}"))[0][0]
+    assert one("'[10,20]' -> 0") == "10" and one("'{\"a\":{\"b\":[1,2]}}' -> 'a' -> 'b' -> 1") == "2" and one("json_get_int('{\"a\":{\"b\":[1,2]}}', 'a', 'b', 1)") == 2
+    assert one("json_get_str('{\"it''s\":\"x\"}', 'it''s')") == "x" and one("json_extract_string('{\"a\":[5]}', 'a[0]')") is None and one("json_length('{\"a\":[5,6]}', 'a')") == 2
+    assert one("json_get_array('{\"a\":[5,null,\"x\"]}', 'a')") == ["5", "null", '"x"'] and one("json_get_float('{\"a\":\"1.5\"}', 'a')") is None and one("json_contains('bad', 'a')") is False
+    assert one("array_remove(make_array(1, 2, 1), 1)") == [2, 1] and one("array_slice(make_array(1, 2, 3, 4), -3, -2)") == [2, 3] and one("array_slice(make_array(1, 2), 3, 1)") == [] and one("range(0)") == [] and one("range(5, 0, -2)") == [5, 3, 1]
+    assert rows(shop.query("SELECT id FROM range(3) ORDER BY id DESC LIMIT 1")) == [(2,)] and code(shop.query, "SELECT json_get_int(status, id) FROM shop.orders") == "INVALID_ARGUMENT" and code(shop.query, "SELECT arrow_cast(1, 'Nope')") == "INVALID_ARGUMENT"
+
+
+def test_metrics_read_rollups(shop):
+    shop.catalog = Catalog.from_dict({**shop.config["semantic"], "metrics": [{"name": "twice", "kind": {"derived": {"expr": "{orders.revenue} * 2"}}}, {"name": "part", "kind": {"share": {"measure": "orders.revenue"}}}, {"name": "own", "kind": {"derived": {"expr": "{orders.revenue | total_amount > 150}"}}}]})
+    asked = []
+    c = shop.compiler()
+    c.rollup = lambda m, p: asked.append(p) or shop._rollup(m, p)
+    assert [tuple(r) for r in c.compile(Query(["twice", "part"], ["orders.status"])).collect()] == [("paid", 1400, 1.0)] and asked == ["by_status"]
+    assert [tuple(r) for r in c.compile(Query(["own"], ["orders.status"])).collect()] == [("paid", 600)] and asked == ["by_status"]  # a filter that the roll-up can't apply
+    assert [round(r[0], 6) for r in c.compile(Query(["part"], ["orders.at.month"], order_by=[("orders.at.month", "asc")])).select("part").collect()] == [0.142857, 0.285714, 0.571429]
+
+
+def test_declared_file_functions(spark, tmp_path):
+    (tmp_path / "eu.csv").write_text("id,name\n1,a\n2,b\n")
+    f = {"source": "f", "name": "by_region", "path": f"{tmp_path}/{{region}}.csv", "args": [{"name": "region", "required": True}, {"name": "id", "type": "bigint", "column": "id"}], "returns": [{"name": "id", "type": "bigint"}, {"name": "name", "type": "varchar"}, {"name": "region", "type": "varchar", "source": "arg"}]}
+    e = Engine(spark, {"sources": [{"name": "f", "kind": "file", "config": {"path": f"{tmp_path}/*.csv"}}], "functions": [f]}, root=str(tmp_path / "store"))
+    assert rows(e.query("SELECT * FROM f.by_region('eu') ORDER BY id")) == [(1, "a", "eu"), (2, "b", "eu")] and rows(e.query("SELECT name FROM f.by_region('eu', 2)")) == [("b",)]
+    e.reload_config({**e.config, "functions": []})
+    assert "f.by_region" not in e.functions.functions

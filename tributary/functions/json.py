@@ -6,17 +6,21 @@ give null; nothing here raises.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _path(keys: tuple[str | int, ...]) -> str:
-    return "$" + "".join(f"[{k}]" if isinstance(k, int) else "['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']" for k in keys)
-
-
 def _node(col: Column, keys: tuple[str | int, ...]) -> Column:
+    """The variant at a path; keys that no path can spell, with quotes or brackets in them, are looked up in the object as a map."""
     v = F.try_parse_json(col)
-    return F.try_variant_get(v, _path(keys), "variant") if keys else v
+    for k in keys:
+        if isinstance(k, int) or re.fullmatch(r"[\w $@#%&*+,;:<>=~|/!^()-]+", k):
+            v = F.try_variant_get(v, f"$[{k}]" if isinstance(k, int) else f'$["{k}"]', "variant")
+        else:
+            v = F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(k))
+    return v
 
 
 def _kind(node: Column) -> Column:

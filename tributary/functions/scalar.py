@@ -17,22 +17,10 @@ FUNCTIONS = {
     "regexp_match": ("s STRING, p STRING", "ARRAY<STRING>", "CASE WHEN s RLIKE p THEN array(regexp_extract(s, concat('(', p, ')'), 1)) END"),
     "iszero": ("x DOUBLE", "BOOLEAN", "x = 0"),
     "nanvl_": ("a DOUBLE, b DOUBLE", "DOUBLE", "nanvl(a, b)"),
-    "gcd": ("a BIGINT, b BIGINT", "BIGINT", "aggregate(sequence(1, 92), struct(abs(a) AS x, abs(b) AS y), (s, i) -> CASE WHEN s.y = 0 THEN s ELSE struct(s.y AS x, s.x % s.y AS y) END, s -> s.x)"),
     "trunc_num": ("x DOUBLE, d INT", "DOUBLE", "signum(x) * floor(abs(x) * power(10, d)) / power(10, d)"),
     "date_bin": ("seconds BIGINT, t TIMESTAMP_NTZ, origin TIMESTAMP_NTZ", "TIMESTAMP_NTZ",
                  "origin + make_dt_interval(0, 0, 0, floor(timestampdiff(MICROSECOND, origin, t) / (seconds * 1000000D)) * seconds)"),
     "string_to_array": ("s STRING, sep STRING", "ARRAY<STRING>", "split(s, concat('\\\\Q', sep, '\\\\E'))"),
-    "array_to_string": ("a ARRAY<STRING>, sep STRING", "STRING", "array_join(a, sep)"),
-    "list_length": ("a ARRAY<STRING>", "BIGINT", "CASE WHEN a IS NOT NULL THEN size(a) END"),
-    "json_get_str": ("j STRING, k STRING", "STRING", "CASE WHEN schema_of_variant(try_variant_get(try_parse_json(j), concat('$[''', k, ''']'), 'variant')) = 'STRING' THEN try_variant_get(try_parse_json(j), concat('$[''', k, ''']'), 'string') END"),
-    "json_get_int": ("j STRING, k STRING", "BIGINT", "CASE WHEN schema_of_variant(try_variant_get(try_parse_json(j), concat('$[''', k, ''']'), 'variant')) = 'BIGINT' THEN try_variant_get(try_parse_json(j), concat('$[''', k, ''']'), 'bigint') END"),
-    "json_get_float": ("j STRING, k STRING", "DOUBLE", "CASE WHEN schema_of_variant(try_variant_get(try_parse_json(j), concat('$[''', k, ''']'), 'variant')) IN ('STRING', 'BOOLEAN', 'VOID') THEN NULL ELSE try_variant_get(try_parse_json(j), concat('$[''', k, ''']'), 'double') END"),
-    "json_get_bool": ("j STRING, k STRING", "BOOLEAN", "CASE WHEN schema_of_variant(try_variant_get(try_parse_json(j), concat('$[''', k, ''']'), 'variant')) = 'BOOLEAN' THEN try_variant_get(try_parse_json(j), concat('$[''', k, ''']'), 'boolean') END"),
-    "json_get_json": ("j STRING, k STRING", "STRING", "to_json(try_variant_get(try_parse_json(j), concat('$[''', k, ''']'), 'variant'))"),
-    "json_length": ("j STRING", "BIGINT", "coalesce(json_array_length(j), CASE WHEN ltrim(j) LIKE '{%' THEN size(json_object_keys(j)) END)"),
-    "json_contains": ("j STRING, k STRING", "BOOLEAN", "coalesce(try_variant_get(try_parse_json(j), concat('$[''', k, ''']'), 'variant') IS NOT NULL, false)"),
-    "json_extract_string": ("j STRING, p STRING", "STRING", "get_json_object(j, concat('$.', p))"),
-    "json_elements": ("j STRING", "ARRAY<STRING>", "CASE WHEN try_parse_json(j) IS NULL THEN NULL WHEN ltrim(j) LIKE '[%' THEN transform(from_json(j, 'array<string>'), x -> coalesce(x, 'null')) ELSE array(coalesce(get_json_object(j, '$'), 'null')) END"),
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob as globbing
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tributary.plans.sqltext import SqlError
 from tributary.sources.http import extract, request
-from tributary.sources.types import struct_of
+from tributary.sources.types import spark_type, struct_of
 
 _REQUIRED = object()
 
@@ -137,6 +138,25 @@ class Registry:
 
         self.add(TableFunction(f"{namespace}.{spec['name']}", args, spec["columns"], run, spec.get("description", "")))
 
+    def declare_file(self, namespace: str, source: dict, spec: dict) -> None:
+        """A declared function over files: ``path`` with ``{argument}`` in it names them, read as a file source reads them; arguments with ``column`` filter the
+        rows by equality, and those of ``returns`` with source: arg come back as columns."""
+        from tributary.sources import file as fs
+
+        args = [Argument(a["name"], a.get("type", "varchar"), a["default"] if "default" in a else None if not a.get("required") else _REQUIRED) for a in spec.get("args", [])]
+        returns = spec.get("returns", [])
+
+        def run(**bound) -> DataFrame:
+            path = re.sub(r"\{(\w+)\}", lambda m: str(bound[m[1]]).replace("..", ""), spec.get("path", source.get("path", "")))
+            schema = [c for c in returns if c.get("source") != "arg"]
+            df = fs.read_table(self.spark, path, {**source, **spec, **({"schema": schema} if schema else {})})
+            for a in spec.get("args", []):
+                if a.get("column") and bound[a["name"]] is not None:
+                    df = df.filter(F.col(f"`{a['column']}`") == F.lit(bound[a["name"]]))
+            return df.withColumns({c["name"]: F.lit(bound[c.get("arg", c["name"])]).cast(spark_type(c.get("type", "varchar"))) for c in returns if c.get("source") == "arg"})
+
+        self.add(TableFunction(f"{namespace}.{spec['name']}", args, returns, run, spec.get("description", "")))
+
     def call(self, namespace: str, function: str, given: list) -> DataFrame:
         f = self.functions[f"{namespace}.{function}"]
         return f.run(**f.bind(given))

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
-import re
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.queries.tables import table
+from tributary.plans import sqltext
+from tributary.service import Engine
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings shop_orders customers order_items sales feeds eval_items".split()
-_NAME = re.compile(r"\b(" + "|".join(TABLES) + r")\b")
+TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings shop_orders customers order_items sales feeds eval_items".split())
 
 
-def run_sql(spark: SparkSession, d: str, sql: str) -> DataFrame:
-    """``sql`` with the tables it names as temporary views over ``d``."""
-    for t in sorted(set(_NAME.findall(sql))):
-        table(spark, d, t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+@functools.lru_cache(maxsize=8)
+def _engine(app: str, d: str) -> Engine:
+    spark = SparkSession.active()
+    return Engine(spark, {"sources": [{"name": "t", "kind": "file", "config": {"tables": [{"name": t, "path": f"{d}/{t}.parquet", "format": "parquet"} for t in sorted(TABLES)]}}]})
+
+
+def engine(spark: SparkSession, d: str) -> Engine:
+    """An engine over the test tables of ``d`` as source t, one per application and folder, as a service keeps its sources open."""
+    return _engine(spark.sparkContext.applicationId, d)
+
+
+def run_sql(spark: SparkSession, d: str, sql: str, params: dict[str, str] | None = None) -> DataFrame:
+    """``sql`` by the engine, with the tables that its FROM clauses name taken from source t."""
+    toks = sqltext.tokens(sql)
+    for i, t in enumerate(toks):
+        if t.kind == "ident" and t.text in TABLES and sqltext._in_from(toks, i):
+            before = next(x.text.lower() for x in reversed(toks[:i]) if x.kind not in ("space", "comment"))
+            if before in ("from", "join", ","):
+                t.text = f"t.{t.text}"
+    return engine(spark, d).query(sqltext.render(toks), params).df
 
 
 #: name: SQL of both, or (Spark SQL, DuckDB SQL)
@@ -87,13 +102,13 @@ SQL: dict[str, str | tuple[str, str]] = {
     "win_running_sum": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS s FROM orders",
     "win_trailing": "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS a FROM orders",
     "win_range": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS n FROM part",
-    "win_groups": ("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY g RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS g FROM part) t",
+    "win_groups": ("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM part",
                    "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM part"),
     "win_share": "SELECT c_custkey, round(c_acctbal / nullif(sum(c_acctbal) OVER (PARTITION BY c_nationkey), 0), 8) AS sh FROM customer",
-    "qualify": ("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 2",
-                "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
-    "distinct_on": ("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) t WHERE rn = 1",
-                    "SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey"),
+    "qualify": "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2",
+    "distinct_on": "SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey",
+    "join_right_semi": ("SELECT n_name FROM supplier RIGHT SEMI JOIN nation ON s_nationkey = n_nationkey", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)"),
+    "join_right_anti": ("SELECT c_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey RIGHT ANTI JOIN customer ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"),
     # sets, order, limits
     "union_all": "SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT r_name FROM region",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tributary.functions import scalar
 from tributary.queries.relational import run_sql
 
 SQL: dict[str, str | tuple[str, str]] = {
@@ -50,19 +47,44 @@ SQL: dict[str, str | tuple[str, str]] = {
     ),
     "fn_typeof": ("SELECT typeof(n_nationkey) AS t, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1", "SELECT 'int' AS t, count(*) AS n FROM nation"),
     "unnest_rows": ("SELECT n_nationkey AS k, explode(sequence(0, n_regionkey)) AS x FROM nation", "SELECT n_nationkey AS k, CAST(unnest(generate_series(0, n_regionkey)) AS INT) AS x FROM nation"),
+    # names that Spark lacks
+    "fn_names_string": (
+        "SELECT p_partkey, substr_index(p_brand, '#', 1) AS si, lower(hex(digest(p_name, 'sha256'))) AS dg, to_char(DATE '2024-03-05', '%Y/%m/%d') AS tc, iszero(p_size - 7) AS iz, trunc(p_retailprice) AS tn, trunc(p_retailprice, 1) AS t1, lcm(p_size, 6) AS lc FROM part",
+        "SELECT p_partkey, split_part(p_brand, '#', 1) AS si, sha256(p_name) AS dg, '2024/03/05' AS tc, p_size = 7 AS iz, trunc(p_retailprice) AS tn, trunc(p_retailprice * 10) / 10 AS t1, lcm(p_size, 6) AS lc FROM part",
+    ),
+    "fn_names_time": (
+        "SELECT o_orderkey, to_timestamp_seconds(o_orderkey) AS s, to_timestamp_millis(o_orderkey) AS ms, to_timestamp_micros(o_orderkey) AS us, to_timestamp_nanos(o_orderkey * 1000) AS ns, to_unixtime(o_orderdate) AS u, to_local_time(o_orderdate) AS l FROM orders",
+        "SELECT o_orderkey, make_timestamp(o_orderkey * 1000000) AS s, make_timestamp(o_orderkey * 1000) AS ms, make_timestamp(o_orderkey) AS us, make_timestamp(o_orderkey) AS ns, CAST(epoch(o_orderdate) AS BIGINT) AS u, o_orderdate AS l FROM orders",
+    ),
+    "fn_names_array": (
+        """SELECT k, array_to_string(array_concat(a, b), ',') AS cc, array_has(a, 3) AS h, array_has_all(a, make_array(3, k)) AS ha, array_has_any(a, b) AS hy, array_element(a, -1) AS el, array_element(a, 9) AS far, array_length(a) AS n, array_to_string(array_positions(a, 3), ',') AS ps,
+        array_to_string(array_remove(a, 3), ',') AS r1, array_to_string(array_remove_n(a, 3, 2), ',') AS r2, array_to_string(array_remove_all(a, 3), ',') AS ra, array_to_string(array_replace(a, 3, 9), ',') AS p1, array_to_string(array_replace_n(a, 3, 9, 2), ',') AS p2,
+        array_to_string(array_replace_all(a, 3, 9), ',') AS pa, array_to_string(array_resize(a, 2), ',') AS z2, array_to_string(array_resize(a, 6, 0), ',') AS z6, array_to_string(array_reverse(a), ',') AS rv, array_to_string(array_slice(a, 2, 3), ',') AS sl, array_to_string(array_slice(a, -2, -1), ',') AS sn,
+        array_any_value(a) AS av, array_to_string(array_dims(a), ',') AS dm, array_ndims(make_array(a)) AS nd, round(array_distance(a, make_array(0, 0, 0, 0)), 6) AS di, array_to_string(array_pop_back(a), ',') AS pb, array_to_string(array_pop_front(a), ',') AS pf, empty(a) AS em,
+        array_to_string(range(1, 5), ',') AS rg, array_to_string(range(3, 3), ',') AS r0 FROM (SELECT n_nationkey AS k, make_array(3, n_nationkey, 3, n_regionkey) AS a, make_array(3, 4) AS b FROM nation) t""",
+        """SELECT k, array_to_string(list_concat(a, b), ',') AS cc, true AS h, true AS ha, true AS hy, a[-1] AS el, CAST(NULL AS INTEGER) AS far, CAST(len(a) AS BIGINT) AS n, array_to_string([i for i in range(1, 5) if a[i] = 3], ',') AS ps,
+        array_to_string(a[2:], ',') AS r1, array_to_string(CASE WHEN k = 3 THEN a[3:] ELSE [a[2]] || a[4:] END, ',') AS r2, array_to_string([x for x in a if x <> 3], ',') AS ra, array_to_string([9] || a[2:], ',') AS p1, array_to_string(CASE WHEN k = 3 THEN [9, 9] || a[3:] ELSE [9, a[2], 9, a[4]] END, ',') AS p2,
+        array_to_string([CASE WHEN x = 3 THEN 9 ELSE x END for x in a], ',') AS pa, array_to_string(a[:2], ',') AS z2, array_to_string(a || [0, 0], ',') AS z6, array_to_string(list_reverse(a), ',') AS rv, array_to_string(a[2:3], ',') AS sl, array_to_string(a[3:4], ',') AS sn,
+        3 AS av, '4' AS dm, CAST(2 AS BIGINT) AS nd, round(sqrt(list_sum([x * x for x in a])), 6) AS di, array_to_string(a[:3], ',') AS pb, array_to_string(a[2:], ',') AS pf, false AS em, '1,2,3,4' AS rg, '' AS r0
+        FROM (SELECT n_nationkey AS k, [3, n_nationkey, 3, n_regionkey] AS a, [3, 4] AS b FROM nation) t""",
+    ),
+    "fn_names_other": (
+        "SELECT n_nationkey AS k, get_field(named_struct('a', n_name), 'a') AS f, get_field(row(n_name, 7), 'c1') AS c1, element_at(make_map('x', n_nationkey, 'y', n_regionkey), 'y') AS m, array_to_string(map_extract(make_map('x', n_nationkey), 'x'), ',') AS mx, size(map_extract(make_map('x', 1), 'q')) AS mn, arrow_cast(n_nationkey, 'Int64') AS c, arrow_cast(n_nationkey, 'Utf8') AS u, arrow_typeof(n_name) AS ty, arrow_typeof(n_nationkey) AS ti FROM nation",
+        "SELECT n_nationkey AS k, n_name AS f, 7 AS c1, n_regionkey AS m, CAST(n_nationkey AS VARCHAR) AS mx, 0 AS mn, CAST(n_nationkey AS BIGINT) AS c, CAST(n_nationkey AS VARCHAR) AS u, 'Utf8' AS ty, 'Int32' AS ti FROM nation",
+    ),
+    "agg_weighted": ("SELECT o_orderstatus, approx_percentile_cont_with_weight(o_totalprice, 1 + o_orderkey % 3, 0.5) AS w FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, quantile_cont(o_totalprice, 0.5) AS w FROM (SELECT o_orderstatus, o_totalprice, unnest(range(1 + o_orderkey % 3)) FROM orders) GROUP BY o_orderstatus"),
+    # sketches differ from one engine to another: within a tenth of the exact value
+    "agg_approx_near": ("SELECT o_orderstatus, abs(approx_distinct(o_custkey) / count(DISTINCT o_custkey) - 1) < 0.1 AS d, abs(approx_median(o_totalprice) / median(o_totalprice) - 1) < 0.1 AS m, abs(approx_percentile_cont(o_totalprice, 0.9) / percentile(o_totalprice, 0.9) - 1) < 0.1 AS p FROM orders GROUP BY o_orderstatus",
+                        "SELECT o_orderstatus, count(*) > 0 AS d, count(*) > 0 AS m, count(*) > 0 AS p FROM orders GROUP BY o_orderstatus"),
 }
-#: Sketches differ from one engine to another, so these have no SQL to compare with.
+#: Sketches differ from one engine to another, so this has no SQL to compare with; agg_approx_near compares it with the exact values.
 ROWS_ONLY = {
-    "agg_approx": "SELECT o_orderstatus, approx_count_distinct(o_custkey) AS d, approx_percentile(o_totalprice, 0.5) AS m, percentile(o_totalprice, 0.5, CAST(1 + o_orderkey % 3 AS INT)) AS w FROM orders GROUP BY o_orderstatus",
+    "agg_approx": "SELECT o_orderstatus, approx_distinct(o_custkey) AS d, approx_median(o_totalprice) AS m, approx_percentile_cont(o_totalprice, 0.9) AS w FROM orders GROUP BY o_orderstatus",
 }
 
 
 def _query(text: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        scalar.register(spark)
-        return run_sql(spark, d, text)
-
-    return run
+    return lambda spark, d: run_sql(spark, d, text)
 
 
 QUERIES = {n: _query(s if isinstance(s, str) else s[0]) for n, s in (SQL | ROWS_ONLY).items()}

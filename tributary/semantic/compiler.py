@@ -250,7 +250,9 @@ class Compiler:
         times = [d for d in q.dimensions if self.catalog.dimension(d)[2]]
         if windowed and len(times) != 1:
             raise SemanticError("METRIC_NEEDS_TIME", "cumulative and offset metrics need exactly one time dimension with a grain")
-        frame = self._aggregate(replace(q, measures=[]), list(plain.values()))
+        leaves = list(plain.values())
+        rolled = self._from_rollup(replace(q, measures=[x.alias for x in leaves]), leaves) if all("." in x.alias for x in leaves) else None
+        frame = rolled if rolled is not None else self._aggregate(replace(q, measures=[]), leaves)
         time = times[0] if times else None
         if windowed:
             frame = self._dense(frame, q.dimensions, time, self.catalog.dimension(time)[2], q.time_zone)
@@ -270,6 +272,10 @@ class Compiler:
                 count += len(parts)
                 frame = frame.withColumns(dict(zip(names, parts)))
                 c = F.expr(substitute_tokens(mt.spec["expr"], names))
+            elif mt.kind == "share" and not mt.spec.get("over"):
+                total = f"__all{count}"  # one row joined to all, where a window without keys would take all rows into one task
+                frame = frame.crossJoin(F.broadcast(frame.agg(getattr(F, mt.spec.get("agg", "sum"))(parts[0]).alias(total))))
+                c = parts[0].cast("double") / F.nullif(F.col(total).cast("double"), F.lit(0.0))
             else:
                 c = self._window(mt, parts[0], q.dimensions, time)
             alias = f"__m{count}"
@@ -297,7 +303,7 @@ class Compiler:
             if not set(over) <= set(dims):
                 raise SemanticError("SHARE_DIM", f"{mt.name}: {sorted(set(over) - set(dims))} are no dimensions of the query")
             w = Window.partitionBy(*[F.col(f"`{d}`") for d in over])
-            return x.cast("double") / F.nullif(getattr(F, agg)(x).over(w).cast("double"), F.lit(0.0))
+            return x.cast("double") / F.nullif(getattr(F, agg)(x).over(w).cast("double"), F.lit(0.0))  # over some dimensions; the whole's share is taken in column()
         t = F.col(f"`{time}`")
         if mt.kind == "offset":
             v = F.coalesce(x, F.lit(0))

@@ -10,19 +10,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tributary import config as cfg
 from tributary import storage
 from tributary import store as st
 from tributary.errors import EngineError
 from tributary.functions import scalar
+from tributary.functions.macros import MACROS
 from tributary.functions.table import Registry
 from tributary.plans import sqltext
 from tributary.semantic.compiler import Compiler
 from tributary.semantic.model import Catalog, Query
 from tributary.session import configure
 from tributary.sources import file as file_source
+from tributary.sources import mcp
 from tributary.sources import registry
+from tributary.sources.http import table as http
+from tributary.streaming.refresh import Refresher
 
 #: Most rows that a bounded query returns, and the default.
 MAX_LIMIT, DEFAULT_LIMIT = 100_000, 1_000
@@ -66,22 +71,36 @@ class Engine:
         self.sources: dict[str, dict] = {}
         self.tables: dict[str, dict[str, DataFrame]] = {}
         self.activity: list[tuple] = []
-        self.refreshers: list = []
+        self.refreshers: dict[str, list[Refresher]] = {}
         scalar.register(spark)
         self.catalog = Catalog.from_dict(self.config.get("semantic") or {})
         for s in self.config.get("sources", []):
             self.add_source(s)
+        self._declare()
+
+    def _declare(self) -> None:
+        """The configuration's functions, over http, tool servers or files by the kind of their source."""
         for f in self.config.get("functions", []):
-            self.functions.declare_http({**self.sources[f["source"]]["config"], "name": f["source"]}, f)
+            s = self.sources[f["source"]]
+            if s["kind"] == "mcp":
+                self.functions.declare_mcp(f["source"], mcp.client_of(s["config"]), f)
+            elif s["kind"] == "file":
+                self.functions.declare_file(f["source"], s["config"], f)
+            else:
+                self.functions.declare_http({**s["config"], "name": f["source"]}, f)
 
     # --- sources -------------------------------------------------------------------------------------------------------------------------------------
 
     def add_source(self, s: dict) -> list[str]:
-        """Register a source; its tables become ``name.table``. A ``cache`` {ttl} stores each table whole on first use."""
+        """Register a source; its tables become ``name.table``. A ``cache`` {ttl, refresh, cron} stores each table whole when it is first read, reads the stored
+        one as long as ttl says, and fetches it anew every ``refresh`` or when ``cron`` is due."""
         tables = registry.load(self.spark, s["kind"], {**s.get("config", {}), "name": s["name"]})
-        cache = s.get("cache")
-        if cache:
-            tables = {n: self.store.cached(f"{s['name']}.{n}", lambda df=df: df, cache.get("ttl")) for n, df in tables.items()}
+        for r in self.refreshers.pop(s["name"], []):
+            r.stop()
+        cache = s.get("cache") or {}
+        if cache.get("refresh") or cache.get("cron"):
+            every = st.seconds(cache["refresh"]) if cache.get("refresh") else None
+            self.refreshers[s["name"]] = [Refresher(lambda: [self.refresh_table(f"{s['name']}.{n}") for n in tables], every, cache.get("cron")).start()]
         db = encode(s["name"])
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
         self.sources[s["name"]], self.tables[s["name"]] = s, tables
@@ -90,6 +109,8 @@ class Engine:
     def remove_source(self, name: str) -> None:
         if name not in self.sources:
             raise EngineError("UNKNOWN_SOURCE", name)
+        for r in self.refreshers.pop(name, []):
+            r.stop()
         del self.sources[name], self.tables[name]
         self.functions.remove(name)
 
@@ -112,7 +133,10 @@ class Engine:
             self.remove_source(n)
         for n in diff["added"] + diff["changed"]:
             self.add_source(new[n])
+        for f in self.config.get("functions", []):
+            self.functions.functions.pop(f"{f['source']}.{f['name']}", None)
         self.config, self.catalog = config, Catalog.from_dict(config.get("semantic") or {})
+        self._declare()
         return diff
 
     def table(self, name: str) -> DataFrame:
@@ -124,7 +148,8 @@ class Engine:
         if len(parts) == 2:
             a, b = parts
             if a in self.tables and b in self.tables[a]:
-                return self.tables[a][b]
+                cache = self.sources[a].get("cache")
+                return self.store.cached(name, lambda: self.tables[a][b], cache.get("ttl")) if cache else self.tables[a][b]
             if a == "materialized":
                 return self.store.get(b)
             if a == "semantic" and b in self.store.entries():
@@ -166,7 +191,9 @@ class Engine:
             return view
 
         text = sqltext.rewrite_calls(text, set(self.functions.functions), resolve)
-        text = sqltext.rewrite_dialect(sqltext.rewrite_or(sqltext.rewrite_json_operators(text)))
+        text = sqltext.rewrite_functions(sqltext.rewrite_json_operators(text), MACROS)
+        text = sqltext.rewrite_dialect(sqltext.rewrite_or(text))
+        text = self._bound(text)
         toks = sqltext.tokens(text)
         out, k = [], 0
         while k < len(toks):
@@ -183,6 +210,8 @@ class Engine:
                 view = "t_" + encode(name.replace(".", "__"))
                 self.table(name).createOrReplaceTempView(view)
                 before = [t for t in out if t.kind not in ("space", "comment")]
+                while len(before) > 1 and before[-1].text == "(":  # a join in parentheses
+                    before.pop()
                 relation = bool(before) and before[-1].text.lower() in ("from", "join", ",")
                 nxt = [t for t in toks[k + 2 * found - 1 :] if t.kind not in ("space", "comment")]
                 aliased = bool(nxt) and (nxt[0].text.lower() == "as" or nxt[0].kind == "ident" and nxt[0].text.lower() not in _KEYWORDS)
@@ -193,6 +222,33 @@ class Engine:
             k += 1
         return self.spark.sql(sqltext.render(out))
 
+    def _required(self, name: str) -> list[str]:
+        """Columns of an API table that a query must give."""
+        source, _, table = name.partition(".")
+        s = self.sources.get(source)
+        if not s or s["kind"] != "http" or s.get("cache"):
+            return []
+        spec = next((t for t in s["config"].get("tables", []) if t["name"] == table), {})
+        return [p.get("column", p["name"]) for p in spec.get("params", []) if p.get("required") and "default" not in p]
+
+    def _bound(self, text: str) -> str:
+        """Joins with API tables that need a column which the join gives: the distinct keys of the other side, read once, are bound as one IN list."""
+        for b in reversed(sqltext.bind_joins(text, self._required)):
+            toks = sqltext.tokens(text)
+            lead = sqltext.render(toks[: b.start])
+            with_ = re.match(r"(?is)\s*(with\b.*?\)\s*)(?=select\b)", lead) if re.match(r"(?is)\s*with\b", lead) else None
+            keys = self._plan(f"{with_[1] if with_ else ''}SELECT DISTINCT {b.key} AS k FROM {b.others} WHERE {b.key} IS NOT NULL")
+            found = [r[0] for r in keys.limit(http.MAX_KEYS + 1).collect()]
+            if len(found) > http.MAX_KEYS:
+                raise EngineError("SAFETY_TOO_MANY_ROWS", f"more than {http.MAX_KEYS} keys for {b.name}")
+            df = self.table(b.name)
+            view = f"bound_{uuid.uuid4().hex[:12]}"
+            (df.filter(F.col(f"`{b.column}`").isin(found)) if found else self.spark.createDataFrame([], df.schema)).createOrReplaceTempView(view)
+            own = sqltext.render(toks[b.start : b.end])
+            alias = re.sub(r"(?is)^[^.]+\.[\w`\"]+\s*(as\s+)?", "", own).strip() or f"`{b.name.split('.')[1]}`"
+            text = lead + f"`{view}` AS {alias}" + sqltext.render(toks[b.end :])
+        return text
+
     def _is_table(self, name: str) -> bool:
         parts = name.split(".")
         if len(parts) == 2:
@@ -276,16 +332,16 @@ class Engine:
     def refresh_table(self, name: str) -> dict:
         """Run a materialized table's query or file again, or fetch a cached table anew."""
         e = self.store.entries().get(name)
-        if not e:
+        if not e and name.partition(".")[2] not in self.tables.get(name.partition(".")[0], {}):
             raise EngineError("UNKNOWN_MATERIALIZED", name)
-        spec = e["spec"]
+        spec = e["spec"] if e else {}
         if "query" in spec or "path" in spec:
             return self.materialize(name, query=spec.get("query"), path=spec.get("path"))
-        self.store.invalidate(name)
-        source = name.split(".")[0]
-        if source in self.sources:
-            self.add_source(self.sources[source])
-        return self.store.entries().get(name, {})
+        source, _, table = name.partition(".")
+        if table in self.tables.get(source, {}):
+            return self.store.put(name, self.tables[source][table], False, {"kind": "cache"}, (self.sources[source].get("cache") or {}).get("ttl"))
+        self.store.drop(name)
+        return {}
 
     def cache_entries(self) -> list[dict]:
         return [{"name": n, "pinned": e["pinned"], "written": e["written"], "fresh": self.store.fresh(n)} for n, e in sorted(self.store.entries().items())]
@@ -368,8 +424,9 @@ class Engine:
         return {"ok": not self.spark.sparkContext._jsc.sc().isStopped(), "sources": len(self.sources), "queries": len(self.activity)}
 
     def shutdown(self) -> None:
-        for r in self.refreshers:
+        for r in [r for rs in self.refreshers.values() for r in rs]:
             r.stop()
+        self.refreshers.clear()
 
 
 _KEYWORDS = set("on using where group order limit join inner left right full cross natural union intersect except having window qualify lateral semi anti offset set tablesample pivot unpivot".split())

@@ -15,6 +15,8 @@ from tributary.sources.http import request
 from tributary.sources.types import struct_of
 
 _OPS = {EqualTo: "eq", In: "in", GreaterThan: "gt", GreaterThanOrEqual: "gte", LessThan: "lt", LessThanOrEqual: "lte"}
+#: Most keys of a dependent join, each being a request.
+MAX_KEYS = 100_000
 RAW_SCHEMA = [{"name": n, "type": t} for n, t in (("request_method", "varchar"), ("request_path", "varchar"), ("request_query", "varchar"), ("response_status", "int"), ("response_body", "varchar"))]
 
 
@@ -100,7 +102,7 @@ def fetch(spark: SparkSession, source: dict, spec: dict, filters: list[tuple[str
     return df.limit(limit) if limit is not None else df
 
 
-def dependent_join(driver: DataFrame, key: str, source: dict, spec: dict, param_column: str, cap: int | None = None, max_keys: int = 100_000) -> DataFrame:
+def dependent_join(driver: DataFrame, key: str, source: dict, spec: dict, param_column: str, cap: int | None = None, max_keys: int = MAX_KEYS) -> DataFrame:
     """``driver`` joined with an API table whose required ``param_column`` comes from ``key``: the distinct non-null keys are bound as one IN list.
 
     ``cap`` is a LIMIT that holds for the driver's rows before any sort or aggregate; it bounds the keys that are asked for. More than ``max_keys`` keys are
