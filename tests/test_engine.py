@@ -484,3 +484,64 @@ def test_declared_file_functions(spark, tmp_path):
     assert rows(e.query("SELECT * FROM f.by_region('eu') ORDER BY id")) == [(1, "a", "eu"), (2, "b", "eu")] and rows(e.query("SELECT name FROM f.by_region('eu', 2)")) == [("b",)]
     e.reload_config({**e.config, "functions": []})
     assert "f.by_region" not in e.functions.functions
+
+
+def test_embedded_files_are_scanned_in_place(spark, tmp_path, monkeypatch):
+    import sqlite3
+
+    import duckdb
+
+    from tributary.sources import database, embedded
+
+    monkeypatch.setattr(embedded, "ROWS", 3)
+    con = sqlite3.connect(tmp_path / "a.db")
+    con.execute("CREATE TABLE users (id INTEGER PRIMARY KEY, email TEXT, is_employee INTEGER)")
+    con.executemany("INSERT INTO users VALUES (?, ?, ?)", [(k, None if k == 4 else f"u{k}@x", "no" if k == 5 else k % 2) for k in range(1, 9)])
+    con.execute("CREATE VIEW v AS SELECT id FROM users")
+    con.commit()
+    con.close()
+    t = database.sqlite_tables(spark, {"path": str(tmp_path / "a.db")})
+    assert t["users"].rdd.getNumPartitions() == 3 and t["users"].count() == 8 and t["v"].count() == 8
+    assert [tuple(r) for r in t["users"].filter("id IN (4, 5) OR id = 7").orderBy("id").collect()] == [(4, None, 0), (5, "u5@x", None), (7, "u7@x", 1)]
+    assert [r.id for r in t["users"].filter("id > 6 AND email IS NOT NULL").orderBy("id").collect()] == [7, 8] and [r.id for r in t["users"].filter("is_employee IS NULL").collect()] == [5]
+    reader = embedded.EmbeddedReader({"db": "sqlite", "file": str(tmp_path / "a.db"), "query": "SELECT * FROM users", "table": "users"}, t["users"].schema)
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    assert len(list(reader.pushFilters([EqualTo(("id",), 3), GreaterThan(("email",), "a")]))) == 2 and reader.where == ['"id" = ?']
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [1]
+    handed = database.sqlite_tables(spark, {"path": str(tmp_path / "a.db"), "shared": False})["users"]
+    assert sorted(map(tuple, handed.collect()), key=str) == sorted(map(tuple, t["users"].collect()), key=str)
+    con = duckdb.connect(f"{tmp_path}/a.duckdb")
+    con.execute("CREATE TABLE t AS SELECT i, 'n' || i AS name, i * 1.5::DOUBLE AS d, DATE '2024-01-01' + CAST(i AS INTEGER) AS day, [i] AS l FROM range(7) x(i)")
+    con.close()
+    d = database.duckdb_tables(spark, {"path": f"{tmp_path}/a.duckdb"})["t"]
+    assert d.rdd.getNumPartitions() == 3 and [(r.i, r.name, r.d, str(r.day), r.l) for r in d.filter("name = 'n4' AND i >= 2").collect()] == [(4, "n4", 6.0, "2024-01-05", [4])]
+    assert d.select("name").filter("name IN ('n1', 'n2')").count() == 2
+    q = database.duckdb_tables(spark, {"path": f"{tmp_path}/a.duckdb", "tables": [{"name": "q", "query": "SELECT i + 1 AS j FROM t"}]})["q"]
+    assert q.filter("j = 7").count() == 1
+
+
+def test_database_discovery(spark, monkeypatch):
+    from tributary.sources import database
+
+    assert "table_schema = 'shop'" in database.discovery_query("mysql", {"database": "shop"}) and "NOT IN" in database.discovery_query("postgres", {}) and "'x'" in database.discovery_query("snowflake", {"schema": "x"})
+
+    class Fake:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def collect(self):
+            return [("a", "t"), ("a", "u"), ("b", "t")]
+
+    assert database.discovered(type("S", (), {"read": Fake()}), "postgres", {"host": "h", "database": "d"}) == [{"name": "a__t", "table": "a.t"}, {"name": "u", "table": "a.u"}, {"name": "b__t", "table": "b.t"}]
+    assert code(database.jdbc_tables("postgres"), spark, {"host": "127.0.0.1", "database": "d"}) == "SOURCE_UNREACHABLE"
+
+
+@pytest.mark.parametrize("path, storage, key", [
+    ("s3://b/x", {"type": "access_key", "access_key_id": "a", "secret_access_key": "s", "region": "eu"}, "fs.s3a.bucket.b.access.key"), ("gs://b/x", {"type": "service_account", "key_file": "/k.json"}, "fs.gs.auth.service.account.json.keyfile"),
+    ("az://c@acc.dfs.core.windows.net/x", {"type": "sas", "sas_token": "t"}, "fs.azure.sas.fixed.token.acc.dfs.core.windows.net"), ("abfss://c@acc.dfs.core.windows.net/x", {"type": "access_key", "account_key": "k"}, "fs.azure.account.key.acc.dfs.core.windows.net"),
+    ("abfss://c@acc.dfs.core.windows.net/x", {"type": "service_principal", "client_id": "i", "client_secret": "s", "tenant_id": "t"}, "fs.azure.account.oauth2.client.id.acc.dfs.core.windows.net"),
+])
+def test_credentials(spark, path, storage, key):
+    got = fs.credentials(spark, path, storage)
+    assert key in got and spark.sparkContext._jsc.hadoopConfiguration().get(key) == got[key]

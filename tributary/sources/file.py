@@ -49,6 +49,22 @@ def credentials(spark: SparkSession, origin: str, storage: dict) -> dict[str, st
         elif storage.get("type") == "credential_chain":
             conf = {b + "aws.credentials.provider": "com.amazonaws.auth.DefaultAWSCredentialsProviderChain"}
         conf |= {b + k: storage[v] for k, v in (("endpoint", "endpoint"), ("endpoint.region", "region"), ("session.token", "session_token")) if v in storage}
+    elif m and m[1] == "gs":
+        if storage.get("type") == "service_account":
+            conf = {"fs.gs.auth.type": "SERVICE_ACCOUNT_JSON_KEYFILE", "fs.gs.auth.service.account.json.keyfile": storage["key_file"]}
+        elif storage.get("type") == "credential_chain":
+            conf = {"fs.gs.auth.type": "APPLICATION_DEFAULT"}
+    elif m and m[1] == "abfss":
+        account = storage.get("account") or m[2].rpartition("@")[2].split(".")[0]
+        host = f"{account}.dfs.core.windows.net"
+        if storage.get("type") == "access_key":
+            conf = {f"fs.azure.account.key.{host}": storage["account_key"]}
+        elif storage.get("type") == "sas":
+            conf = {f"fs.azure.account.auth.type.{host}": "SAS", f"fs.azure.sas.fixed.token.{host}": storage["sas_token"]}
+        elif storage.get("type") == "service_principal":
+            oauth = "org.apache.hadoop.fs.azurebfs.oauth2.ClientCredsTokenProvider"
+            conf = {f"fs.azure.account.auth.type.{host}": "OAuth", f"fs.azure.account.oauth.provider.type.{host}": oauth, f"fs.azure.account.oauth2.client.id.{host}": storage["client_id"],
+                    f"fs.azure.account.oauth2.client.secret.{host}": storage["client_secret"], f"fs.azure.account.oauth2.client.endpoint.{host}": f"https://login.microsoftonline.com/{storage['tenant_id']}/oauth2/token"}
     for k, v in conf.items():
         spark.sparkContext._jsc.hadoopConfiguration().set(k, str(v))
     return conf
