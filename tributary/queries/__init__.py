@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["timestamps", "skew", "orphans", "orders", "relational", "jsonq", "semantic", "sources", "scalars"]
+_MODULES = ["timestamps", "skew", "orphans", "orders", "relational", "jsonq", "semantic", "sources", "scalars", "http", "verbs"]
 
 
 def collect() -> tuple[dict, dict]:

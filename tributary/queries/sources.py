@@ -80,6 +80,40 @@ def src_segment_all(spark: SparkSession, d: str) -> DataFrame:
     return fs.read_table(spark, f"{p}/base/*/x", {"format": "parquet", "segments": [{"name": "status", "index": 0}]})
 
 
+def src_ndjson(spark: SparkSession, d: str) -> DataFrame:
+    """NDJSON with inferred types."""
+    p = scratch(spark)
+    table(spark, d, "events").select("event_id", F.struct("user_id").alias("o"), "event_type").write.json(f"{p}/e.ndjson")
+    return fs.read_table(spark, f"{p}/e.ndjson").filter("event_id % 2 = 0").select("event_id", "o.user_id", "event_type")
+
+
+def src_pushdown(spark: SparkSession, d: str) -> DataFrame:
+    """A DuckDB file scanned in place, with filters in its own SQL."""
+    import duckdb
+
+    p = own_folder()
+    con = duckdb.connect(f"{p}/x.duckdb")
+    con.execute(f"CREATE TABLE supplier AS SELECT * FROM read_parquet('{d}/supplier.parquet')")
+    con.close()
+    e = Engine(spark, {"sources": [{"name": "wh", "kind": "duckdb", "config": {"path": f"{p}/x.duckdb"}}]})
+    return e.query("SELECT * FROM wh.supplier WHERE s_nationkey IN (1, 2, 3) AND s_suppkey > 2").df
+
+
+def src_cached(spark: SparkSession, d: str) -> DataFrame:
+    """A cached API table: two rows are added to the API behind it after the first read, and only a refresh shows them."""
+    rows = [(("id", r["n_nationkey"]), ("name", r["n_name"]), ("region", r["n_regionkey"])) for r in _nation(spark, d)]
+    handler = type("Api", (_Api,), {"rows": [dict(r) for r in rows]})
+    server = ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    e = Engine(spark, {"sources": [{"name": "api", "kind": "http", "config": {"base_url": f"http://127.0.0.1:{server.server_port}", "tables": [_ITEMS]}, "cache": {"ttl": "1h"}}]})
+    before = e.query("SELECT id, name FROM api.items").df
+    handler.rows += [{"id": 900 + k, "name": "late", "region": 0} for k in range(2)]
+    again = e.query("SELECT count(*) AS n FROM api.items").df.first()[0]
+    assert again == len(rows)
+    e.refresh_table("api.items")
+    return before.crossJoin(e.query("SELECT count(*) AS n FROM api.items").df)
+
+
 def src_sqlite(spark: SparkSession, d: str) -> DataFrame:
     p = own_folder()
     con = sqlite3.connect(f"{p}/n.db")
@@ -173,6 +207,13 @@ def http_typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def http_dependent_join(spark: SparkSession, d: str) -> DataFrame:
+    """A join that gives an API table its required column, as plain SQL."""
+    config = [{"name": "api", "kind": "http", "config": {**_source(spark, d), "tables": [_ITEM]}}, {"name": "t", "kind": "file", "config": {"path": f"{d}/supplier.parquet"}}]
+    return Engine(spark, {"sources": config}).query("SELECT s.k, i.name, i.region FROM (SELECT DISTINCT s_nationkey AS k FROM t.supplier) s JOIN api.item i ON i.id = s.k").df
+
+
+def http_dependent_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a function over frames."""
     keys = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
     return http.dependent_join(keys, "k", _source(spark, d), _ITEM, "id").select("k", "name", "region")
 
@@ -181,7 +222,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return windowed_counts(table(spark, d, "events"), "ts", ["event_type"], "1 day").select("start", "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (src_csv, src_ndjson_declared, src_json_array, src_hive, src_segment, src_segment_all, src_sqlite, src_duckdb, materialize_roundtrip, fn_file_glob, fn_file_grep, http_typed, http_dependent_join, stream_windows)}
+QUERIES = {f.__name__: f for f in (src_csv, src_ndjson_declared, src_json_array, src_hive, src_segment, src_segment_all, src_sqlite, src_duckdb, materialize_roundtrip, fn_file_glob, fn_file_grep, http_typed, http_dependent_join, http_dependent_frames, src_ndjson, src_pushdown, src_cached, stream_windows)}
 ORACLE = {
     "src_csv": "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "src_ndjson_declared": "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(trunc(value) AS BIGINT) AS n, '{\"user_id\":' || user_id || '}' AS o, CAST(NULL AS DOUBLE) AS event_type, CAST(NULL AS INTEGER) AS absent FROM events",
@@ -196,5 +237,9 @@ ORACLE = {
     "fn_file_grep": "SELECT 'region ' || n_regionkey AS line, count(*) AS n FROM nation WHERE n_regionkey IN (1, 2) GROUP BY 1",
     "http_typed": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation WHERE n_regionkey IN (1, 3) AND n_nationkey > 5",
     "http_dependent_join": "SELECT DISTINCT s_nationkey AS k, n_name AS name, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "http_dependent_frames": "SELECT DISTINCT s_nationkey AS k, n_name AS name, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "src_ndjson": "SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS user_id, event_type FROM events WHERE event_id % 2 = 0",
+    "src_pushdown": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey IN (1, 2, 3) AND s_suppkey > 2",
+    "src_cached": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, (SELECT count(*) FROM nation) + 2 AS n FROM nation",
     "stream_windows": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

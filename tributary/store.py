@@ -20,6 +20,8 @@ from tributary.storage import Files, local
 _NAME = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_.-]{0,127}")
 #: Seconds to wait for the lock of a store that isn't on a local or mounted disk.
 LOCK_S = 60
+#: Seconds for which a replaced snapshot is kept.
+GRACE_S = 3600
 _UNITS = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 
@@ -121,16 +123,20 @@ class Store:
             shutil.rmtree(p, ignore_errors=True)
 
     def put(self, name: str, df: DataFrame, pinned: bool, spec: dict | None = None, ttl: str | float | None = None) -> dict:
-        """Write a snapshot and make it the entry; the one before it is removed. Cached tables are stored whole, never as one query's part of them."""
+        """Write a snapshot and make it the entry; the one before it stays for GRACE_S, for queries that still read it. Cached tables are stored whole, never as
+        one query's part of them."""
         check_name(name)
         part = f"{name}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.uri}/{part}")
         entry = {"path": part, "pinned": pinned, "spec": spec or {}, "written": time.time(), "ttl": seconds(ttl) if ttl is not None else None, "schema": df.schema.json()}
         with self._locked() as m:
-            old = m.get(name)
+            was = m.get(name)
+            old = [*was.get("old", []), [was["path"], time.time()]] if was else []
+            entry["old"] = [o for o in old if time.time() - o[1] < GRACE_S]
             m[name] = entry
-        if old:
-            self._remove(old["path"])
+        for path, at in old:
+            if time.time() - at >= GRACE_S:
+                self._remove(path)
         return entry
 
     def fresh(self, name: str) -> bool:
@@ -163,7 +169,8 @@ class Store:
             e = m.pop(name, None)
         if not e:
             raise EngineError("UNKNOWN_MATERIALIZED", f"nothing stored as {name!r}")
-        self._remove(e["path"])
+        for path in (e["path"], *(o[0] for o in e.get("old", []))):
+            self._remove(path)
 
     def invalidate(self, prefix: str = "") -> list[str]:
         """Forget cached entries; pinned ones stay."""
@@ -175,16 +182,20 @@ class Store:
     def quarantine(self, name: str) -> None:
         with self._locked() as m:
             e = m.pop(name, None)
+        for path, _ in e.get("old", []) if e else ():
+            self._remove(path)
         if e and (self.files or os.path).exists(p := os.path.join(self.path, e["path"])):
             (self.files or os).replace(p, f"{p}.bad")
 
     def vacuum(self) -> list[str]:
-        """Remove expired entries and directories that no entry names."""
+        """Remove expired entries and directories that no entry names; snapshots replaced less than GRACE_S ago are still named."""
         now, gone = time.time(), []
         with self._locked() as m:
             for n in [n for n, e in m.items() if not e["pinned"] and e["ttl"] is not None and now - e["written"] >= e["ttl"]]:
                 gone.append(m.pop(n)["path"])
-            kept = {e["path"] for e in m.values()}
+            for e in m.values():
+                e["old"] = [o for o in e.get("old", []) if now - o[1] < GRACE_S]
+            kept = {p for e in m.values() for p in (e["path"], *(o[0] for o in e["old"]))}
         for d in self.files.folders(self.path) if self.files else os.listdir(self.path):
             if (self.files or os.path.isdir(os.path.join(self.path, d))) and d not in kept:
                 gone.append(d)
