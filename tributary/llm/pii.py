@@ -30,7 +30,10 @@ _DIGITS = {
 }
 _D = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _SPELLED = regex.compile(rf"(?i)(?<!\w)(?:{_D})(?:[ -]+(?:{_D})){{4,}}(?!\w)")
-_DIGIT_PAIR = re.compile(rf"(?<!\w)(?:{_D})[ -]+(?:{_D})(?!\w)")
+_DIGIT_WORDS = ahocorasick.Automaton()
+for _w in _DIGITS:
+    _DIGIT_WORDS.add_word(_w, len(_w))
+_DIGIT_WORDS.make_automaton()
 _UNSEEN = regex.compile(r"[\p{Cf}]+")
 _ODD = regex.compile(r"[\p{Cf}\p{M}‐-―−‘-‟′\t\xa0  -  　＀-￯]|[A-Za-z][\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][A-Za-z]")
 _MIXED = regex.compile(r"\b(?=\w*[A-Za-z])(?=\w*[\p{Cyrillic}\p{Greek}])\w+\b")
@@ -40,6 +43,22 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _AT = regex.compile(r"(?i)(?<=\w)(?: ?[\[({<] ?(?:at|ät|arroba|arobase|klammeraffe) ?[\])}>] ?| (?:at|arroba|arobase|klammeraffe) (?=[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}))(?=\w)")
 
 
+_AT_HINT = re.compile(r"[\[({<] ?(?:at|ät|arroba|arobase|klammeraffe) ?[\])}>]| (?:at|arroba|arobase|klammeraffe) [\w-]+\.[\w.-]*[a-z]", re.I)
+
+
+def _spelled(low: str) -> bool:
+    """Whether five words for digits may follow one another."""
+    n, last, run = len(low), -9, 0
+    for end, size in _DIGIT_WORDS.iter(low):
+        a, b = end - size + 1, end + 1
+        if (b == n or not low[b].isalnum()) and (a == 0 or not low[a - 1].isalnum()):
+            run = run + 1 if a - last <= 4 else 1
+            last = b
+            if run >= 5:
+                return True
+    return False
+
+
 _flags: dict[str, int] = {}
 
 
@@ -69,11 +88,11 @@ def deobfuscate(text: str) -> Mapped:
         m = replace(m, _MIXED, lambda x: "".join(_LOOKALIKES.get(c, c) for c in x[0]))
         m = replace(m, _ONE, lambda x: _PLAIN[x[0]])
     low = m[0].lower()
-    if _DIGIT_PAIR.search(low):
+    if _spelled(low):
         m = replace(m, _SPELLED, lambda x: "".join(_DIGITS[w] for w in regex.split(r"[ -]+", x[0].lower())))
     if any(w in low for w in ("dot", "punkt", "punto", "point")):
         m = replace(m, _DOT, lambda _: ".")
-    if any(w in low for w in ("at", "ät", "arroba", "arobase", "klammeraffe")):
+    if _AT_HINT.search(m[0]):
         m = replace(m, _AT, lambda _: "@")
     return m
 
@@ -369,20 +388,22 @@ _CELL = regex.compile(rf'\s*"?(?:{_TITLE} )?(?P<v>{_FIELD})"?\s*')
 
 
 # Words that streets are called by, whole or as a word's end.
-_STREETS = set(
-    "road rd street st avenue ave lane ln terrace court ct boulevard blvd drive dr way close square place row am an im auf zum zur calle avda avenida plaza paseo camino ronda travesía c "
-    "rue av bd impasse quai chemin allée cours route".split()
-)
+_STREETS_EN = frozenset("road rd street st avenue ave lane ln terrace court ct boulevard blvd drive dr way close square place row".split())
+_STREETS_FR = frozenset("rue avenue av bd boulevard impasse quai chemin allée place cours route square".split())
+_STREETS_OTHER = frozenset("am an im auf zum zur calle avda avenida plaza paseo camino ronda travesía".split())
+_STREETS = _STREETS_EN | _STREETS_FR | _STREETS_OTHER | {"c"}
 _STREET_ENDS = ("straße", "strasse", "str", "gasse", "weg", "allee", "platz", "ufer", "ring", "damm")
 # Words of titles, particles inside names, and words of which labels and phrases before a name have at least one.
 _TITLE_WORDS = "dr mr mrs ms miss herr herrn frau mme mlle monsieur madame señor señora sr sra don doña".split()
 _PARTICLE_WORDS = "van von della ten ter".split()
-_LABEL_WORDS = (
+_PERSON_WORDS = frozenset((
     "caller recipient contact customer client holder owner assignee reporter requester employee patient applicant author sender signatory attn fullname surname name anrufer anruferin empfänger empfängerin "
     "ansprechpartner ansprechpartnerin kontakt kundin kunde inhaber inhaberin absender absenderin melder melderin bearbeiter bearbeiterin mitarbeiter mitarbeiterin destinatario destinataria contacto cliente titular "
-    "remitente solicitante empleado interlocutor interlocutora destinataire titulaire expéditeur demandeur appelant appelante interlocuteur apellidos completo prénom nachname nombre nom "
+    "remitente solicitante empleado interlocutor interlocutora destinataire titulaire expéditeur demandeur appelant appelante interlocuteur apellidos completo prénom nachname nombre nom"
+).split())
+_LABEL_WORDS = (
     "signed reported assigned approved reviewed written requested submitted sent received collected confirmed verified opened closed handled called raised spoke talked behalf "
-    "unterschrieben gemeldet erfasst bearbeitet zugewiesen namen gesprochen adresse avisado firmado asignado hablé dirección signalé signé assigné attribué parlé row from von de to para an à"
+    "unterschrieben gemeldet erfasst bearbeitet zugewiesen namen gesprochen adresse avisado firmado asignado titular nombre nom hablé dirección signalé signé assigné attribué parlé row from von de to para an à"
 ).split()
 _ONLY_AT_START = frozenset("from von de to para an à".split())
 
@@ -390,7 +411,7 @@ _ONLY_AT_START = frozenset("from von de to para an à".split())
 def _triggers(given: frozenset[str]) -> ahocorasick.Automaton:
     """One automaton over the words that open a window for a detector; a value is (length, kinds)."""
     kinds: dict[str, list[str]] = {}
-    for kind, ws in (("given", given), ("street", _STREETS), ("end", _STREET_ENDS), ("verb", _VERBS), ("close", _CLOSES), ("title", _TITLE_WORDS), ("particle", _PARTICLE_WORDS), ("label", _LABEL_WORDS)):
+    for kind, ws in (("given", given), ("street", _STREETS), ("end", _STREET_ENDS), ("verb", _VERBS), ("close", _CLOSES), ("title", _TITLE_WORDS), ("particle", _PARTICLE_WORDS), ("label", _LABEL_WORDS), ("person", _PERSON_WORDS)):
         for w in ws:
             kinds.setdefault(w, []).append(kind)
     a = ahocorasick.Automaton()
@@ -415,6 +436,10 @@ def _hits(t: str, names: Names) -> dict[str, list[tuple[int, int]]]:
                 out["street"].append((a, b))
             continue
         for k in kinds:
+            if k == "person":
+                if ":" in low[b : b + 3] or "=" in low[b : b + 3]:
+                    out["label"].append((a, b))
+                continue
             if k == "label" and low[a:b] in _ONLY_AT_START and (low[b : b + 1] != ":" or a and low[a - 1] != "\n"):
                 continue
             out["street" if k == "end" else k].append((a, b))
@@ -424,8 +449,13 @@ def _hits(t: str, names: Names) -> dict[str, list[tuple[int, int]]]:
 
 
 _INITIALS = re.compile(r"(?<![^\W\d_])[^\W\d_]\.")
-#: Runs with as many digits as any number that is looked for.
-_RUN = re.compile(r"\d[\d ()./-]{5,}\d|[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d|[A-Z0-9]*\d[A-Z0-9]{6,}|\d{7,}|(?<![A-Z0-9])(?=[A-Z]*\d[A-Z]*\d)[A-Z0-9]{9,10}(?![A-Z0-9])")
+#: Runs of capitals, digits and what joins them; those with as many digits as any number that is looked for are looked at.
+_RUN = re.compile(r"[A-Z\d][A-Z\d ()./-]{6,}")
+_LONG_TOKEN = re.compile(r"[A-Z\d]{9}")
+
+
+def _runs(t: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _RUN.finditer(t) if (n := sum(map(m[0].count, "0123456789"))) >= 5 or n > 1 and _LONG_TOKEN.search(m[0])]
 
 
 def _windows(hits: list[tuple[int, int]], around: int, length: int) -> Iterator[tuple[int, int]]:
@@ -442,6 +472,22 @@ def _windows(hits: list[tuple[int, int]], around: int, length: int) -> Iterator[
         yield low, min(high, length)
 
 
+_HOUSE_BEFORE = re.compile(r"\d[A-Za-z]? (?:[^\W\d_][\w'’-]* ?){1,4}$")
+_AFTER_NUMBER = re.compile(r"\d(?: ?(?:bis|ter|quater|[a-z]))?,? $", re.I)
+
+
+def _may_be_street(t: str, a: int, b: int) -> bool:
+    """Whether a number stands where an address with this street word has one: some words before an English one, just before a French one, behind others."""
+    w = t[a:b].lower()
+    if w in _STREETS_EN and _HOUSE_BEFORE.search(t, max(0, a - 60), a) or w in _STREETS_FR and _AFTER_NUMBER.search(t, max(0, a - 12), a):
+        return True
+    if w == "c":
+        return t[b : b + 1] == "/" and bool(_DIGIT.search(t, b, b + 60))
+    if w in _STREETS_OTHER:
+        return bool(_DIGIT.search(t, b, b + 60))
+    return w in _STREET_ENDS and bool(_DIGIT.search(t, b, b + 3))
+
+
 def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each personal value of ``text`` in order, without overlaps; of overlapping ones emails go before addresses, labelled numbers,
     phones, unlabelled numbers and names."""
@@ -461,10 +507,10 @@ def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     if "@" in t:
         for m in _EMAIL.finditer(t):
             add(*m.span(), "email")
-    streets = list(_windows([(a, b) for a, b in hits["street"] if _DIGIT.search(t, max(0, a - 60), b + 60)], 110, n))
+    streets = list(_windows([(a, b) for a, b in hits["street"] if _may_be_street(t, a, b)], 110, n))
     for m in (m for w in streets for m in _ADDRESSES.finditer(t, *w)):
         add(m.start(), _trimmed(t, *m.span()), "address")
-    runs = list(_windows([m.span() for m in _RUN.finditer(t)], 60, n))
+    runs = list(_windows(_runs(t), 60, n))
     for m in (m for w in runs for m in _LABELLED.finditer(t, *w)):
         add(*m.span("v"), "id_number")
     for m in (m for w in runs for m in _PHONE.finditer(t, *w)):
