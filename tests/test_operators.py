@@ -4,6 +4,8 @@ from datetime import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tributary.operators import features, keys, orphans, rolling, skew
 
 DAY = 86_400_000_000
@@ -23,10 +25,13 @@ def test_clean_key(spark):
 def test_salted_totals(spark):
     rows = [("hot", 1.0, k) for k in range(3000)] + [(f"k{k}", float(k), k) for k in range(50)] + [(None, 2.0, None), (None, None, None), ("k1", math.nan, 1)]
     df = spark.createDataFrame(rows, "key string, amount double, id bigint")
-    got = {r.key: (r.n_rows, r.n_amounts, r.total) for r in skew.salted_totals(df, "key", "amount", ["id", "amount"]).collect()}
+    totals = skew.salted_totals(df, {"k": F.col("key"), "id": F.col("id").cast("string")}, "amount", ["id", "amount"]).collect()
+    got = {r.key: (r.n_rows, r.n_amounts, r.total) for r in totals if r.field_name == "k"}
+    assert sum(r.n_rows for r in totals if r.field_name == "id") == len(rows)
     assert got["hot"] == (3000, 3000, 3000.0) and got["k1"] == (2, 1, 1.0) and got[None] == (2, 1, 2.0) and len(got) == 52
-    assert [r.key for r in skew.frequent(skew.salted_totals(df, "key", "amount", ["id"]), len(rows), 0.02).collect()] == ["hot"]
-    assert skew.salted_totals(df.limit(0), "key", "amount", ["id"]).collect() == []
+    key = {"k": F.col("key")}
+    assert [r.key for r in skew.frequent(skew.salted_totals(df, key, "amount", ["id"]), 0.02).collect()] == ["hot"]
+    assert skew.salted_totals(df.limit(0), key, "amount", ["id"]).collect() == [] and skew.frequent(skew.salted_totals(df.limit(0), key, "amount", ["id"]), 0.02).collect() == []
 
 
 def test_orphans_against_brute_force(spark):

@@ -33,11 +33,12 @@ def current_rows(df: DataFrame, key: str, order: list[str], *keep: str) -> DataF
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*keep)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
-    """Keys that hold at least about ``share`` of the rows, so never more than 1 / share of them; from one pass with a frequent-items sketch of fixed size."""
+def hot_values(df: DataFrame, columns: list[str], share: float = 0.01) -> dict[str, list]:
+    """For each column the values that hold at least about ``share`` of the rows, so never more than 1 / share of them; from one pass with frequent-items
+    sketches of fixed size."""
     most = int(1 / share)
-    found = df.filter(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {most}, {most * 100})").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    return [x["item"] for x in found["top"] or [] if x["count"] >= share * found["n"]]
+    found = df.agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"approx_top_k(`{c}`, {most}, {most * 100}) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"top{k}") for k, c in enumerate(columns)]).first()
+    return {c: [x["item"] for x in found[f"top{k}"] or [] if x["item"] is not None and x["count"] >= share * found["n"]] for k, c in enumerate(columns)}
 
 
 def salt(key: Column, hot: list, pieces: int, *row: str) -> Column:

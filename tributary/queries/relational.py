@@ -108,7 +108,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "qualify": "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2",
     "distinct_on": "SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey",
     "join_right_semi": ("SELECT n_name FROM supplier RIGHT SEMI JOIN nation ON s_nationkey = n_nationkey", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)"),
-    "join_right_anti": ("SELECT c_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey RIGHT ANTI JOIN customer ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"),
+    "join_right_anti": ("SELECT c_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 45 RIGHT ANTI JOIN customer ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 45)"),
     # sets, order, limits
     "union_all": "SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT r_name FROM region",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",

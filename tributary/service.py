@@ -173,7 +173,7 @@ class Engine:
                 self.materialize(name, df=df, spec={"query": text})
                 df = self.store.get(name)
             if limit is not None and re.match(r"(?is)\s*(?:--[^\n]*\n\s*)*(select|with)\b", text):
-                df = df.limit(min(limit, MAX_LIMIT))
+                df = df.limit(limit)
             return Handle(qid, df, self.spark)
         except Exception as e:
             error = getattr(e, "code", type(e).__name__)

@@ -1,6 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary one is made. A written
+The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset and Spark runs on this machine alone (tests, a laptop) a temporary
+one is made, on a cluster that is an error. A written
 table cuts lineage and survives the loss of any executor, which a local checkpoint would not.
 """
 
@@ -13,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tributary.errors import EngineError
+
 _made: dict[str, str] = {}
 
 
@@ -22,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.applicationId not in _made:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not sc.master.startswith("local"):
+                raise EngineError("NO_SHARED_FOLDER", "set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tributary-")
             atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
         _made[sc.applicationId] = base.rstrip("/")
