@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.operators.keys import day_of
+
 #: Bucket of events whose moment is unknown.
 UNDATED = 0
 _PARTIAL = "entity string, type string, n bigint, n_amounts bigint, total double, last_us bigint"
@@ -13,7 +15,7 @@ _MANIFEST = "bucket int, n bigint, mark decimal(38,0), high_us bigint"
 
 def bucket_of(us: str) -> F.Column:
     """Calendar month of a moment as a number, year * 12 + month - 1; UNDATED for null."""
-    t = F.date_from_unix_date(F.floor(F.col(us) / F.lit(86_400_000_000)).cast("int"))  # in UTC whatever the session's zone is
+    t = F.date_from_unix_date(day_of(us))  # in UTC whatever the session's zone is
     return F.when(F.col(us).isNull(), F.lit(UNDATED)).otherwise(F.year(t) * 12 + F.month(t) - 1).cast("int")
 
 

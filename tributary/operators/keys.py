@@ -20,6 +20,11 @@ def number(name: str) -> Column:
     return F.when(~F.isnan(c), c + F.lit(0.0))
 
 
+def day_of(us: str) -> Column:
+    """UTC day since 1970 of microseconds since then, in whole numbers, so exact for any of them."""
+    return F.expr(f"CAST((`{us}` - pmod(`{us}`, 86400000000)) DIV 86400000000 AS INT)")
+
+
 def current_rows(df: DataFrame, key: str, order: list[str], *keep: str) -> DataFrame:
     """The row of each ``key`` that is greatest by ``order`` (nulls least), with the columns ``keep``.
 

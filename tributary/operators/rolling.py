@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.operators.keys import day_of
+
 #: Days per time shard, a power of two of at least the longest period.
 SHARD = 64
 _NODES = "shard int, node array<smallint>, total array<double>, n array<bigint>"
@@ -75,8 +77,7 @@ def daily(rows: DataFrame) -> DataFrame:
     Entities keep their type, text ones too.
     """
     value = F.when(~F.isnan("amount"), F.col("amount"))
-    day = F.floor(F.col("at_us") / F.lit(86_400_000_000)).cast("int")
-    per = rows.filter(F.col("entity").isNotNull() & F.col("at_us").isNotNull()).groupBy("entity", day.alias("day"))
+    per = rows.filter(F.col("entity").isNotNull() & F.col("at_us").isNotNull()).groupBy("entity", day_of("at_us").alias("day"))
     return per.agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), F.count(F.lit(1)).alias("n"))
 
 

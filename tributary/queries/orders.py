@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import features, rolling
 from tributary.operators import timestamps as ts
-from tributary.operators.keys import clean_key, current_rows
+from tributary.operators.keys import clean_key, current_rows, day_of
 from tributary.operators.spread import spread
 from tributary.queries.instants import instants
 from tributary.queries.tables import table
@@ -103,7 +103,7 @@ def p5_corrected(spark: SparkSession, d: str) -> DataFrame:
     old = _current(before, "id", "entity", "at_us", "amount")
     tree = written(rolling.trees(rolling.daily(old)), "trees", "shard")
     now, ids = written(_current(o, "id", "entity", "at_us", "amount"), "current"), late.select("id").distinct()
-    day = F.floor(F.col("at_us") / F.lit(DAY_US)).cast("int").alias("day")
+    day = day_of("at_us").alias("day")
     touched = [x.join(ids, "id", "left_semi").select("entity", day) for x in (old, now)]
     touched.append(late.filter(F.col("id").isNull()).select("entity", day))
     named = written(touched[0].unionByName(touched[1]).unionByName(touched[2]).filter(F.col("entity").isNotNull() & F.col("day").isNotNull()).distinct(), "touched")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,15 +11,16 @@ from tributary.service import Engine
 TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings shop_orders customers order_items sales feeds eval_items".split())
 
 
-@functools.lru_cache(maxsize=8)
-def _engine(app: str, d: str) -> Engine:
-    spark = SparkSession.active()
-    return Engine(spark, {"sources": [{"name": "t", "kind": "file", "config": {"tables": [{"name": t, "path": f"{d}/{t}.parquet", "format": "parquet"} for t in sorted(TABLES)]}}]})
+_engines: dict[tuple[str, str], Engine] = {}
 
 
 def engine(spark: SparkSession, d: str) -> Engine:
     """An engine over the test tables of ``d`` as source t, one per application and folder, as a service keeps its sources open."""
-    return _engine(spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _engines:
+        files = [{"name": t, "path": f"{d}/{t}.parquet", "format": "parquet"} for t in sorted(TABLES)]
+        _engines[key] = Engine(spark, {"sources": [{"name": "t", "kind": "file", "config": {"tables": files}}]})
+    return _engines[key]
 
 
 def run_sql(spark: SparkSession, d: str, sql: str, params: dict[str, str] | None = None) -> DataFrame:

@@ -215,7 +215,22 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return windowed_counts(table(spark, d, "events"), "ts", ["event_type"], "1 day").select("start", "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (src_csv, src_ndjson_declared, src_json_array, src_hive, src_segment, src_sqlite, src_duckdb, materialize_roundtrip, fn_file_glob, fn_file_grep, http_typed, http_dependent_join, http_dependent_frames, src_ndjson, src_pushdown, src_cached, stream_windows)}
+def stream_live(spark: SparkSession, d: str) -> DataFrame:
+    """The same over a stream of files, run until all that is there is read; each batch's state replaces the result."""
+    p = scratch(spark)
+    table(spark, d, "events").repartition(4).write.parquet(f"{p}/events")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 2).parquet(f"{p}/events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = windowed_counts(stream, "ts", ["event_type"], "1 day", late="30 days", value="value")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{p}/out")
+
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{p}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{p}/out")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (src_csv, src_ndjson_declared, src_json_array, src_hive, src_segment, src_sqlite, src_duckdb, materialize_roundtrip, fn_file_glob, fn_file_grep, http_typed, http_dependent_join, http_dependent_frames, src_ndjson, src_pushdown, src_cached, stream_windows, stream_live)}
 ORACLE = {
     "src_csv": "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "src_ndjson_declared": "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(trunc(value) AS BIGINT) AS n, '{\"user_id\":' || user_id || '}' AS o, CAST(NULL AS DOUBLE) AS event_type, CAST(NULL AS INTEGER) AS absent FROM events",
@@ -233,5 +248,6 @@ ORACLE = {
     "src_ndjson": "SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS user_id, event_type FROM events WHERE event_id % 2 = 0",
     "src_pushdown": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey IN (1, 2, 3) AND s_suppkey > 2",
     "src_cached": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, (SELECT count(*) FROM nation) + 2 AS n FROM nation",
+    "stream_live": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_windows": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -1,17 +1,15 @@
 """Test tables by name."""
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-
-@lru_cache(maxsize=256)
-def _schema(app: str, path: str) -> StructType:
-    return SparkSession.active().read.parquet(path).schema
+_schemas: dict[tuple[str, str], StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; its schema is read from the file once an application, as for a table that is registered."""
     path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_schema(spark.sparkContext.applicationId, path)).parquet(path)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)

@@ -44,11 +44,13 @@ def sys_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sys_durable_activity(spark: SparkSession, d: str) -> DataFrame:
-    e, p = _fresh(spark, d), qualified(spark, new_path(spark, "activity"))
+    """Saved and remembered queries together, as another engine would read them too."""
+    e = _fresh(spark, d, activity={"path": qualified(spark, new_path(spark, "activity"))})
     for k in range(3):
         e.query(f"SELECT {k} AS k").collect()
-        e.save_activity(p)
-    return spark.read.parquet(p).groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dt").cast("int").alias("days"))
+        e.save_activity()
+    e.query("SELECT 3 AS k").collect()
+    return e.query("SELECT text, count(*) AS n, CAST(count(DISTINCT id) AS INT) AS ids FROM system.activity WHERE kind = 'sql' GROUP BY text").df
 
 
 def verb_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +163,7 @@ def _values(names: str, rows: list[tuple[str, str]]) -> str:
 ORACLE = {
     "sys_columns": "SELECT table_name, column_name, CAST(k AS INTEGER) AS ordinal_position, data_type FROM (VALUES ('nation', 'n_nationkey', 1, 'int'), ('nation', 'n_name', 2, 'string'), ('nation', 'n_regionkey', 3, 'int'), ('region', 'r_regionkey', 1, 'int'), ('region', 'r_name', 2, 'string')) t(table_name, column_name, k, data_type)",
     "sys_activity": "SELECT * FROM (VALUES ('SELECT n_name FROM t.nation WHERE n_name = ''?'' AND n_nationkey > ?', true, '7'), ('SELECT * FROM t.nothing', false, '7')) t(text, fine, value)",
-    "sys_durable_activity": "SELECT 'SELECT ? AS k' AS text, CAST(3 AS BIGINT) AS n, 1 AS days",
+    "sys_durable_activity": "SELECT 'SELECT ? AS k' AS text, CAST(4 AS BIGINT) AS n, 4 AS ids",
     "verb_catalog": _values("verb, answer", [("search", '[["t.nation", 10]]'), ("by_description", '[["t.orders", 11]]'), ("nothing", "[]"), ("columns", '["n_regionkey", "r_regionkey"]'), ("describe", '["r_regionkey", "r_name", "about"]'), ("sources", '[["t", "file", 4]]'), ("reload", '{"removed": ["t"], "added": [], "changed": []}'), ("gone", "UNKNOWN_TABLE")]),
     "verb_bounded": "SELECT 10 AS n, true AS more, CAST(count(*) AS INTEGER) AS n_all, false AS no_more, 3 AS capped FROM nation",
     "verb_explain": "SELECT true AS filter, true AS column_name, false AS physical",

@@ -6,7 +6,9 @@ import os
 import re
 import time
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,8 @@ from tributary.streaming.refresh import Refresher
 
 #: Most rows that a bounded query returns, and the default.
 MAX_LIMIT, DEFAULT_LIMIT = 100_000, 1_000
+#: Queries that the activity log remembers; what is to stay is saved.
+ACTIVITY = 10_000
 
 
 def encode(name: str) -> str:
@@ -46,19 +50,22 @@ class Handle:
     df: DataFrame
     spark: SparkSession = field(repr=False)
 
-    def collect(self) -> list:
+    @contextmanager
+    def tagged(self) -> Iterator[DataFrame]:
+        """The rows, for any action: what runs inside, writes too, is stopped when the query is cancelled."""
         self.spark.addTag(self.id)
         try:
-            return self.df.collect()
+            yield self.df
         finally:
             self.spark.removeTag(self.id)
 
+    def collect(self) -> list:
+        with self.tagged() as df:
+            return df.collect()
+
     def rows(self) -> Iterator:
-        self.spark.addTag(self.id)
-        try:
-            yield from self.df.toLocalIterator(prefetchPartitions=True)
-        finally:
-            self.spark.removeTag(self.id)
+        with self.tagged() as df:
+            yield from df.toLocalIterator(prefetchPartitions=True)
 
 
 class Engine:
@@ -70,7 +77,7 @@ class Engine:
         self.functions = Registry(spark, self.config.get("base", "."), tuple(self.config.get("allowed_hosts", ())))
         self.sources: dict[str, dict] = {}
         self.tables: dict[str, dict[str, DataFrame]] = {}
-        self.activity: list[tuple] = []
+        self.activity: deque[tuple] = deque(maxlen=ACTIVITY)
         self.refreshers: dict[str, list[Refresher]] = {}
         scalar.register(spark)
         self.catalog = Catalog.from_dict(self.config.get("semantic") or {})
@@ -403,7 +410,11 @@ class Engine:
 
     def system_table(self, name: str) -> DataFrame:
         if name == "activity":
-            return self.spark.createDataFrame(self.activity, "id string, kind string, text string, started double, seconds double, error string, param_keys array<string>")
+            now = self.spark.createDataFrame(list(self.activity), _ACTIVITY)
+            saved = (self.config.get("activity") or {}).get("path")
+            if not saved or not storage.Files(self.spark, saved).exists(saved):
+                return now
+            return now.unionByName(self.spark.read.schema(_ACTIVITY + ", dt string, hr string").parquet(saved).drop("dt", "hr"))
         if name == "variables":
             return self.spark.createDataFrame([(v["name"], str(v.get("value")), v.get("description")) for v in self.config.get("variables", [])], "name string, value string, description string")
         raise EngineError("UNKNOWN_TABLE", f"system.{name}")
@@ -414,9 +425,10 @@ class Engine:
         rows = [(*t.split("."), f.name, k + 1, f.dataType.simpleString()) for t in self.list_tables() for k, f in enumerate(self.table(t).schema)]
         return self.spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, ordinal_position int, data_type string")
 
-    def save_activity(self, path: str) -> None:
-        """Append the activity log as Parquet by day and hour."""
-        df = self.system_table("activity").selectExpr("*", "date_format(timestamp_seconds(started), 'yyyy-MM-dd') AS dt", "date_format(timestamp_seconds(started), 'HH') AS hr")
+    def save_activity(self, path: str | None = None) -> None:
+        """Append what the log remembers as Parquet by day and hour, to ``activity: {path}`` of the configuration, which system.activity reads too, or to ``path``."""
+        path = path or self.config["activity"]["path"]
+        df = self.spark.createDataFrame(list(self.activity), _ACTIVITY).selectExpr("*", "date_format(timestamp_seconds(started), 'yyyy-MM-dd') AS dt", "date_format(timestamp_seconds(started), 'HH') AS hr")
         df.write.mode("append").partitionBy("dt", "hr").parquet(path)
         self.activity.clear()
 
@@ -429,6 +441,7 @@ class Engine:
         self.refreshers.clear()
 
 
+_ACTIVITY = "id string, kind string, text string, started double, seconds double, error string, param_keys array<string>"
 _KEYWORDS = set("on using where group order limit join inner left right full cross natural union intersect except having window qualify lateral semi anti offset set tablesample pivot unpivot".split())
 
 
