@@ -34,10 +34,9 @@ _DIGIT_WORDS = ahocorasick.Automaton()
 for _w in _DIGITS:
     _DIGIT_WORDS.add_word(_w, len(_w))
 _DIGIT_WORDS.make_automaton()
-_UNSEEN = regex.compile(r"[\p{Cf}]+")
 _ODD = regex.compile(r"[\p{Cf}\p{M}‐-―−‘-‟′\t\xa0  -  　＀-￯]|[A-Za-z][\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][A-Za-z]")
 _MIXED = regex.compile(r"\b(?=\w*[A-Za-z])(?=\w*[\p{Cyrillic}\p{Greek}])\w+\b")
-_ONE = regex.compile("[" + "".join(map(regex.escape, _PLAIN)) + "]")
+_UNSEEN_OR_PLAIN = regex.compile(r"\p{Cf}+|[" + "".join(map(regex.escape, _PLAIN)) + "]")
 _DOT = regex.compile(r"(?i)(?<=\w)(?: ?[\[({<] ?(?:dot|punkt|punto|point) ?[\])}>] ?| (?:dot|punkt|punto|point) )(?=\w)")
 _WORDS = re.compile(r"[^\W\d_]+")
 _AT = regex.compile(r"(?i)(?<=\w)(?: ?[\[({<] ?(?:at|ät|arroba|arobase|klammeraffe) ?[\])}>] ?| (?:at|arroba|arobase|klammeraffe) (?=[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}))(?=\w)")
@@ -84,9 +83,8 @@ def deobfuscate(text: str) -> Mapped:
     m = (text, range(len(text)))
     if not text.isascii() and _is_odd(text):
         m = nfkc(text)
-        m = replace(m, _UNSEEN, lambda _: "")
+        m = replace(m, _UNSEEN_OR_PLAIN, lambda x: _PLAIN.get(x[0], ""))
         m = replace(m, _MIXED, lambda x: "".join(_LOOKALIKES.get(c, c) for c in x[0]))
-        m = replace(m, _ONE, lambda x: _PLAIN[x[0]])
     low = m[0].lower()
     if _spelled(low):
         m = replace(m, _SPELLED, lambda x: "".join(_DIGITS[w] for w in regex.split(r"[ -]+", x[0].lower())))
