@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.plans import sqltext
 from tributary.service import Engine
+from tributary.storage import Files
 
 TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings shop_orders customers order_items sales feeds eval_items".split())
 
@@ -18,7 +18,8 @@ def engine(spark: SparkSession, d: str) -> Engine:
     """An engine over the test tables of ``d`` as source t, one per application and folder, as a service keeps its sources open."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _engines:
-        files = [{"name": t, "path": f"{d}/{t}.parquet", "format": "parquet"} for t in sorted(TABLES)]
+        there = Files(spark, d)
+        files = [{"name": t, "path": f"{d}/{t}.parquet", "format": "parquet"} for t in sorted(TABLES) if there.exists(f"{d}/{t}.parquet")]
         _engines[key] = Engine(spark, {"sources": [{"name": "t", "kind": "file", "config": {"tables": files}}]})
     return _engines[key]
 
