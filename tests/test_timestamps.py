@@ -119,8 +119,8 @@ PLACES = ["", "Z", " UTC", "+02:00", "-0530", " +01", " CEST", "[Europe/Berlin]"
 @settings(deadline=None, max_examples=200)
 @given(st.lists(st.tuples(st.sampled_from(PIECES), st.sampled_from(CLOCKS), st.sampled_from(PLACES), st.sampled_from(["Europe/Berlin", "UTC", "Asia/Kolkata", "nowhere", None]), st.sampled_from(["dmy", "mdy", "ymd", None])), min_size=1, max_size=40))
 def test_columns_read_like_single_values(rows):
-    values = [a + b + c for a, b, c, _, _ in rows] + [None, "", "  ", "é", " 2024-01-02\t03:04 ", "٢٠٢٤-01-02"]
-    zones, orders = [r[3] for r in rows] + ["UTC"] * 6, [r[4] for r in rows] + ["dmy"] * 6
+    values = [a + b + c for a, b, c, _, _ in rows] + [None, "", "  ", "é", "x 9" * 5000, "2024-01-02 03:04:05." + "7" * 300, " 2024-01-02\t03:04 ", "٢٠٢٤-01-02"]
+    zones, orders = [r[3] for r in rows] + ["UTC"] * 8, [r[4] for r in rows] + ["dmy"] * 8
     ends, (t, f, c) = ts._read(*(pa.array(x, pa.string()) for x in (values, zones, orders))).lists()
     got = [list(zip(t[a:b].tolist(), f[a:b].tolist(), c[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
     assert got == [ts.interpretations(*x) for x in zip(values, zones, orders)]

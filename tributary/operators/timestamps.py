@@ -299,9 +299,13 @@ def _shapes_of(signatures: list[str]) -> np.ndarray:
         _shapes.clear()
     out = []
     for x in signatures:
-        if x not in _shapes:
-            _shapes[x] = _shape(x) if x.isascii() else None
-        out.append(_shapes[x] or [0] * (9 + 2 * len(_PLACES)))
+        if x in _shapes:
+            shape = _shapes[x]
+        else:
+            shape = _shape(x) if x.isascii() else None
+            if len(x) < 200:  # long texts aren't kept
+                _shapes[x] = shape
+        out.append(shape or [0] * (9 + 2 * len(_PLACES)))
     return np.array(out, np.int64).reshape(-1, 9 + 2 * len(_PLACES))
 
 
