@@ -449,11 +449,12 @@ def _hits(t: str, names: Names) -> dict[str, list[tuple[int, int]]]:
 _INITIALS = re.compile(r"(?<![^\W\d_])[^\W\d_]\.")
 #: Runs of capitals, digits and what joins them; those with as many digits as any number that is looked for are looked at.
 _RUN = re.compile(r"[A-Z\d][A-Z\d ()./-]{6,}")
+_DATE = re.compile(r"\d{4}-\d\d-\d\d(?:[T ]\d\d)?[ .)]*")
 _LONG_TOKEN = re.compile(r"[A-Z\d]{9}")
 
 
 def _runs(t: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _RUN.finditer(t) if (n := sum(map(m[0].count, "0123456789"))) >= 5 or n > 1 and _LONG_TOKEN.search(m[0])]
+    return [m.span() for m in _RUN.finditer(t) if ((n := sum(map(m[0].count, "0123456789"))) >= 6 or n > 1 and _LONG_TOKEN.search(m[0])) and not _DATE.fullmatch(m[0])]
 
 
 def _windows(hits: list[tuple[int, int]], around: int, length: int) -> Iterator[tuple[int, int]]:
