@@ -142,3 +142,35 @@ def test_neighbours_decide_without_a_declaration(spark):
     c = ts.candidates(df, "v", F.lit("UTC"), F.lit(None).cast("string"), F.col("src"), F.col("feed"), F.col("row_id"))
     got = ts.normalise(c).withColumn("at", F.timestamp_micros("utc_us")).filter("month(at) = 3").count()
     assert got == len(rows)
+
+
+def test_neighbours_decide_for_repeated_row_ids_at_any_number(spark, monkeypatch):
+    monkeypatch.setattr(ts, "BITS", 2)
+    rows = []
+    for n in (1, 3, 4, 5, 17, 300):
+        rows += [(f"s{n}", "f", 8, "03/25/2024"), *[(f"s{n}", "f", 9, "03/04/2024")] * n, (f"s{n}", "f", 10, "03/26/2024"), (f"s{n}", "f", 500, "03/27/2024")]
+    rows += [(None, "f", r, v) for _, _, r, v in rows[-303:]]
+    df = spark.createDataFrame(rows, "src string, feed string, row_id bigint, v string")
+    c = ts.candidates(df, "v", F.lit("UTC"), F.lit(None).cast("string"), F.col("src"), F.col("feed"), F.col("row_id"))
+    got = {(r.src, r.utc_us): r["count"] for r in ts.normalise(c).filter("row_id = 9").groupBy("src", "utc_us").count().collect()}
+    assert got == {**{(f"s{n}", us("2024-03-04")): n for n in (1, 3, 4, 5, 17, 300)}, (None, us("2024-03-04")): 300}
+
+
+def test_repeated_row_ids_are_chosen_exactly(spark, monkeypatch):
+    monkeypatch.setattr(ts, "BITS", 1)
+    rnd, day, rows = random.Random(7), ts.BACK_US, []
+    for src in range(40):
+        for _ in range(rnd.randint(1, 8)):
+            n = rnd.randint(1, 3)
+            rows.append((str(src), "f", rnd.choice([2, 2, 2, 3, 9]), rnd.sample(range(0, 9 * day, day), n), [rnd.randint(0, 2) for _ in range(n)], [rnd.choice([0.0, 0.5, 2.0]) for _ in range(n)]))
+    got = {}
+    for r in ts.normalise(spark.createDataFrame(rows, "src string, feed string, row_id bigint, t array<bigint>, f array<int>, c array<float>")).collect():
+        got.setdefault(r.src, []).append((r.row_id, r.utc_us))
+    for src in map(str, range(40)):
+        mine = sorted(x[2:] for x in rows if x[0] == src)
+        by_cost = {}
+        for pick in itertools.product(*[range(len(x[1])) for x in mine]):
+            at = [(x[1][k], x[2][k]) for x, k in zip(mine, pick)]
+            cost = sum(x[3][k] for x, k in zip(mine, pick)) + sum(ts.BACK_COST * (b[0] < a[0] - day) + ts.SWITCH_COST * (b[1] != a[1]) for a, b in itertools.pairwise(at))
+            by_cost.setdefault(round(cost, 3), []).append(sorted((x[0], a[0]) for x, a in zip(mine, at)))
+        assert sorted(got[src]) in by_cost[min(by_cost)]

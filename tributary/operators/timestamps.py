@@ -2,8 +2,8 @@
 
 Every value gets the array of its valid interpretations; a Viterbi pass over each source's record order then picks one per value. The pass is exact and
 distributed: rows are cut into blocks of ``2**BITS`` consecutive record ids, every block is reduced to a min-plus matrix between the interpretations of its first
-and its last row, blocks are reduced again until one task holds a source's remaining matrices, and the choices are handed down again. So no task ever holds more
-than ``2**BITS`` rows of a source, however large the source is.
+and its last row, blocks are reduced again until one task holds a source's remaining matrices, and the choices are handed down again. A block with more rows than
+ids, as some ids repeat, is cut into parts of ``2**BITS`` rows first. So no task ever holds more than ``2**BITS`` rows of a source, however large the source is.
 """
 
 from __future__ import annotations
@@ -601,15 +601,16 @@ def _runs(t: pa.Table) -> _Items:
     return _Items(_pad(t["et"], 0, np.int64, k), _pad(t["ef"], -1, np.int32, k), _pad(t["xt"], 0, np.int64, k), _pad(t["xf"], -1, np.int32, k), m)
 
 
-_RUN = "src string, feed string, b bigint, w int, et array<bigint>, ef array<int>, xt array<bigint>, xf array<int>, m array<float>"
-_STATE = "src string, feed string, b bigint, en int, ex int"
+_RUN = "src string, feed string, b bigint, s bigint, w int, et array<bigint>, ef array<int>, xt array<bigint>, xf array<int>, m array<float>"
+_STATE = "src string, feed string, b bigint, s bigint, en int, ex int"
+_PLACE = [("b", "ascending"), ("s", "ascending")]
 
 
 def _up(key, t: pa.Table, leaf: bool) -> pa.Table:
-    t = t.sort_by("row_id" if leaf else "b")
+    t = t.sort_by("at" if leaf else _PLACE)
     x = _levels(_leaves(t) if leaf else _runs(t))[-1]
     k = x.m.shape[1]
-    return pa.table({"src": pa.array([key[0].as_py()], pa.string()), "feed": pa.array([key[1].as_py()], pa.string()), "b": pa.array([key[2].as_py()], pa.int64()), "w": pa.array([k], pa.int32()),
+    return pa.table({"src": pa.array([key[0].as_py()], pa.string()), "feed": pa.array([key[1].as_py()], pa.string()), "b": pa.array([key[2].as_py()], pa.int64()), "s": pa.array([key[3].as_py()], pa.int64()), "w": pa.array([k], pa.int32()),
                      "et": pa.array([x.et[0].tolist()], pa.list_(pa.int64())), "ef": pa.array([x.ef[0].tolist()], pa.list_(pa.int32())),
                      "xt": pa.array([x.xt[0].tolist()], pa.list_(pa.int64())), "xf": pa.array([x.xf[0].tolist()], pa.list_(pa.int32())),
                      "m": pa.array([x.m[0].ravel().tolist()], pa.list_(pa.float32()))})
@@ -624,39 +625,49 @@ def _up_run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
 
 
 def _states(t: pa.Table, en: np.ndarray, ex: np.ndarray) -> pa.Table:
-    return pa.table({"src": t["src"], "feed": t["feed"], "b": t["b"], "en": pa.array(en, pa.int32()), "ex": pa.array(ex, pa.int32())})
+    return pa.table({"src": t["src"], "feed": t["feed"], "b": t["b"], "s": t["s"], "en": pa.array(en, pa.int32()), "ex": pa.array(ex, pa.int32())})
 
 
 def _down_root(t: pa.Table) -> pa.Table:
-    t = t.sort_by("b")
+    t = t.sort_by(_PLACE)
     levels = _levels(_runs(t))
     m = levels[-1].m[0]
     return _states(t, *_descend(levels, *divmod(int(m.argmin()), m.shape[1])))
 
 
 def _down_run(t: pa.Table, state: pa.Table) -> pa.Table:
-    t = t.sort_by("b")
+    t = t.sort_by(_PLACE)
     return _states(t, *_descend(_levels(_runs(t)), state["en"][0].as_py(), state["ex"][0].as_py()))
 
 
 def _down_leaf(t: pa.Table, state: pa.Table) -> pa.Table:
     if not t.num_rows:
         return pa.table({"src": pa.array([], pa.string()), "row_id": pa.array([], pa.int64()), "utc_us": pa.array([], pa.int64())})
-    t = t.sort_by("row_id")
+    t = t.sort_by("at")
     x = _leaves(t)
     en, _ = _descend(_levels(x), state["en"][0].as_py(), state["ex"][0].as_py())
     several = np.isfinite(x.m[:, np.arange(x.m.shape[1]), np.arange(x.m.shape[1])]).sum(1) > 1
     return pa.table({"src": t["src"], "row_id": t["row_id"], "utc_us": pa.array(x.et[np.arange(len(en)), en], pa.int64())}).filter(pa.array(several))
 
 
-def _without_repeats(c: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose row_id is theirs alone, and the others, which have no place in the record order. Only blocks with more rows than ids can have many of them."""
-    crowded = c.groupBy("src", "feed", F.shiftright("row_id", BITS).alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2**BITS).select("src", "feed", "b")
-    inside = c.withColumn("b", F.shiftright("row_id", BITS)).join(crowded, ["src", "feed", "b"], "left_semi")
-    again = inside.groupBy("src", "feed", "row_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("src", "feed", "row_id")
-    again = written(again, "repeats")
-    on = ["src", "feed", "row_id"]
-    return c.join(again, on, "left_anti"), c.join(again, on, "left_semi")
+#: Order of the rows of a source; rows that agree in all of this are the same to the Viterbi pass.
+_ORDER = ("row_id", "t", "f", "c")
+
+
+def _in_parts(placed: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``placed`` with s, a row's number in its block by _ORDER without the last BITS bits; ``crowded`` are the blocks (src, feed, b) with more than 2**BITS rows, so all others are one
+    part. A sort over all tasks numbers the rows of crowded blocks, copies of one row spread like others, so that no task holds a block however often an id repeats."""
+    key = ["src", "feed", "b"]
+    crowded = written(crowded, "crowded").withColumnsRenamed({k: f"__{k}" for k in key})
+    same = F.col("src").eqNullSafe(F.col("__src")) & (F.col("feed") == F.col("__feed")) & (F.col("b") == F.col("__b"))
+    rows = placed.withColumn("__copy", F.monotonically_increasing_id()).join(crowded, same, "left_semi")
+    rows = written(rows.orderBy(*key, *_ORDER, "__copy").drop("__copy").withColumn("__at", F.monotonically_increasing_id()), "sorted").withColumn("__task", F.shiftright("__at", 33))
+    held = rows.groupBy(*key, "__task").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("__task")) - F.col("n")
+    held = written(held.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__task").alias("task"), (before - F.col("first")).alias("__shift")), "held")
+    rows = rows.join(held, same & (F.col("__task") == F.col("task"))).withColumn("s", F.shiftright(F.col("__at") + F.col("__shift"), BITS))
+    whole = placed.join(crowded, same, "left_anti").withColumn("s", F.lit(0).cast("bigint"))
+    return whole.unionByName(rows.select(whole.columns))
 
 
 def normalise(readings: DataFrame) -> DataFrame:
@@ -664,35 +675,39 @@ def normalise(readings: DataFrame) -> DataFrame:
 
     A row with one reading has nothing to choose, so only rows with several, and the rows around them, take part in the Viterbi pass: the cost of what lies
     between two rows with one reading is the same for every choice elsewhere.
-    Rows without a reading give no row. A null feed is a source of its own. Rows whose row_id is null, or repeated in a block that holds more rows than ids,
-    have no place in the order and get their cheapest, then first reading. Other rows that repeat a row_id are all kept, in an order that isn't defined. Ties
-    go to the reading listed first, so to the declared one. An empty table gives an empty one.
+    Rows without a reading give no row. A null feed is a source of its own. Rows that repeat a row_id stand side by side in the order of their readings, however
+    many they are. Rows whose row_id is null have no place in the order and get their cheapest, then first reading. Ties go to the reading listed first, so to
+    the declared one. An empty table gives an empty one.
     """
     c = written(readings.filter(F.size("t") > 0).select("src", F.coalesce("feed", F.lit("")).alias("feed"), "row_id", "t", "f", "c"), "readings")
     cheapest = F.get("t", F.array_position("c", F.array_min("c")).cast("int") - 1).alias("utc_us")
     out = c.filter((F.size("t") == 1) | F.col("row_id").isNull()).select("src", "row_id", cheapest)
-    placed = c.filter(F.col("row_id").isNotNull())
-    block = lambda name, bits: F.shiftright(F.col(name), bits)
-    blocks = placed.groupBy("src", "feed", block("row_id", BITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    placed = c.filter(F.col("row_id").isNotNull()).withColumn("b", F.shiftright("row_id", BITS))
+    blocks = placed.groupBy("src", "feed", "b").agg(F.count(F.lit(1)).alias("n"))
     low, high, most = blocks.agg(F.min("b"), F.max("b"), F.max("n")).first()
     if low is None:
         return out
-    if most > 2**BITS:
-        placed, again = _without_repeats(placed)
-        out = out.unionByName(again.filter(F.size("t") > 1).select("src", "row_id", cheapest))
-    w = Window.partitionBy("src", "feed", "b").orderBy("row_id")
+    crowded = blocks.filter(F.col("n") > 2**BITS).select("src", "feed", "b")
+    parts = _in_parts(placed, crowded) if most > 2**BITS else placed.withColumn("s", F.lit(0).cast("bigint"))
+    key = ["src", "feed", "b", "s"]
+    w = Window.partitionBy(*key).orderBy(*_ORDER)
     n = F.size("t")
-    near = placed.withColumn("b", block("row_id", BITS)).withColumns({"__n": n, "__p": F.lag(n).over(w), "__q": F.lead(n).over(w)})
+    near = parts.withColumns({"__n": n, "__p": F.lag(n).over(w), "__q": F.lead(n).over(w), "at": F.row_number().over(w)})
     leaves = written(near.filter("__n > 1 OR __p > 1 OR __q > 1 OR __p IS NULL OR __q IS NULL").drop("__n", "__p", "__q"), "leaves")
-    steps = [leaves.groupBy("src", "feed", "b").applyInArrow(_up_leaf, _RUN)]
-    spread = high - low
+    lifts, deep, spread = [], (most - 1) >> BITS, high - low
+    while deep:  # the parts of every block
+        deep >>= BITS
+        lifts.append({"ub": F.col("b"), "us": F.shiftright("s", BITS)})
     while spread >> BITS:
         spread >>= BITS
-        steps.append(steps[-1].withColumn("u", block("b", BITS)).groupBy("src", "feed", "u").applyInArrow(_up_run, _RUN))
-    steps = [written(s, "runs") for s in steps[:1]] + steps[1:]
+        lifts.append({"ub": F.shiftright("b", BITS), "us": F.lit(0).cast("bigint")})
+    above = ["src", "feed", "ub", "us"]
+    steps = [written(leaves.groupBy(*key).applyInArrow(_up_leaf, _RUN), "runs")]
+    for up in lifts:
+        steps.append(steps[-1].withColumns(up).groupBy(*above).applyInArrow(_up_run, _RUN))
     state = steps[-1].groupBy("src", "feed").applyInArrow(_down_root, _STATE)
-    for runs in reversed(steps[:-1]):
-        keyed = runs.withColumn("u", block("b", BITS)).groupBy("src", "feed", "u")
-        state = keyed.cogroup(state.withColumnRenamed("b", "u").groupBy("src", "feed", "u")).applyInArrow(_down_run, _STATE)
-    chosen = leaves.groupBy("src", "feed", "b").cogroup(state.groupBy("src", "feed", "b")).applyInArrow(_down_leaf, "src string, row_id bigint, utc_us bigint")
+    for runs, up in zip(reversed(steps[:-1]), reversed(lifts)):
+        state = state.withColumnsRenamed({"b": "ub", "s": "us"}).groupBy(*above)
+        state = runs.withColumns(up).groupBy(*above).cogroup(state).applyInArrow(_down_run, _STATE)
+    chosen = leaves.groupBy(*key).cogroup(state.groupBy(*key)).applyInArrow(_down_leaf, "src string, row_id bigint, utc_us bigint")
     return out.unionByName(chosen)
